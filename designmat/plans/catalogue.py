@@ -13,7 +13,7 @@ from designmat.operators.models import OLS, fit
 from designmat.plans.contrasts import Custom, Dummy, Effects, Helmert, Hypothesis, SeqDiff
 from designmat.plans.parser import formula
 from designmat.plans.schema import schema
-from designmat.plans.terms import Categorical, Var, drop_term, term_names
+from designmat.plans.terms import Var, drop_term, term_names
 from designmat.sources.tables import read
 from designmat.streaming.project import stream_matrix
 
@@ -288,5 +288,3 @@ def stream_projection(t, spark):
 def set_contrasts(t, spark):
     return ModelFrame("l_tax ~ l_returnflag", t("lineitem")).setcontrasts(l_returnflag=Effects()).modelmatrix()
 
-
-__all__ = ["QUERIES", "ORACLE_SQL", "Categorical"]

@@ -27,9 +27,9 @@ class _Node:
             inner = _text(self.args[0])
             return f"{self.fn}({inner})" if isinstance(self.args[0], _Node) and self.args[0].infix else f"{self.fn}{inner}"
         level, out = POWER[self.fn], []
-        for i, a in enumerate(self.args):
+        for a in self.args:
             t = _text(a)
-            inner = a.infix and len(a.args) > 1 and (POWER[a.fn] < level or POWER[a.fn] == level and (i > 0 or a.fn != self.fn)) if isinstance(a, _Node) else False
+            inner = a.infix and len(a.args) > 1 and POWER[a.fn] <= level if isinstance(a, _Node) else False
             out.append(f"({t})" if inner else t)
         return f" {self.fn} ".join(out)
 
