@@ -142,8 +142,10 @@ def read(directory: DataFrame, path: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    # Blocks are small and many: dealt evenly, whatever file they lie in.
-    return directory.repartition(F.xxhash64("index", "offset")).mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # A directory row stands for many records, so tasks are counted by blocks and not by the directory's own bytes.
+    blocks = directory.count()
+    tasks = max(1, min(blocks, max(-(-blocks // 16), directory.sparkSession.sparkContext.defaultParallelism)))
+    return directory.repartition(tasks, F.xxhash64("index", "offset")).mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def lookup(directory: DataFrame, path: str, url: str) -> list[dict]:
