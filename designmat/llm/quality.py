@@ -33,7 +33,7 @@ def features(text: str | None) -> np.ndarray:
     n, k = len(b), len(w)
     share = [(n - len(b.translate(None, c))) / n for c in (UPPER, DIGIT, LOUD, CALM)]
     counts = Counter(w)
-    top = counts.most_common(1)[0][1] / k
+    top = (counts.most_common(1)[0][1] - 1) / k  # 0 where no word recurs, however short the text
     lines = [x for x in b.split(b"\n") if x.strip()]
     once = sum(c for c in Counter(lines).values() if c > 1) / len(lines)
     again = sum(map(bytes.__eq__, w, w[1:])) / k
@@ -42,7 +42,7 @@ def features(text: str | None) -> np.ndarray:
     bangs = b.count(b"!") / k
     distinct = len(counts) / k
     length = sum(map(len, counts)) / len(counts) / 20
-    raw = np.array([*share, top, once, again, min(stops, 2.0), min(bars, 2.0), min(bangs, 4.0), distinct, min(length, 3.0), min(n / k / 20, 3.0)])
+    raw = np.array([*share, top, once, again, min(stops, 0.25), min(bars, 2.0), min(bangs, 4.0), distinct, min(length, 3.0), min(n / k / 20, 3.0)])
     steep = np.sqrt(raw[[0, 1, 2, 4, 5, 6, 8, 9]])
     return np.concatenate([[1.0], raw, steep, [np.log1p(k) / 10]])
 
@@ -99,7 +99,7 @@ def _newton(rows: DataFrame, d: int, prior: float | None, steps: int, ridge: flo
             if s["usoft"][0] / m < prior * s["psoft"][0] / n and before is not None:
                 return (w + before) / 2  # the risk of negatives went below zero: step back and stop
             grad, hess = s["usx"] / m - prior * s["px"] / n, hu
-        pull = np.full(d, ridge)
+        pull = np.full(d, ridge + 0.3 / n)  # few positives pull more
         pull[0] = ridge / 100
         step = np.linalg.solve(hess + np.diag(pull), grad + pull * w)
         size = np.abs(step).max()
@@ -110,7 +110,8 @@ def _newton(rows: DataFrame, d: int, prior: float | None, steps: int, ridge: flo
 
 
 def _prior(rows: DataFrame, w: np.ndarray) -> float:
-    """Least ratio of the tails of unlabelled and positive scores, where half the positives still are."""
+    """Least upper bound (one standard error) of the ratio of the tails of unlabelled and positive scores, where
+    half the positives still are; the bound keeps noise from making the least ratio too small."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -126,7 +127,9 @@ def _prior(rows: DataFrame, w: np.ndarray) -> float:
         return 0.5
     a, b = p / p[-1], u / u[-1]
     use = a >= 0.5
-    return float(np.clip((b[use] / a[use]).min(), 0.05, 0.99))
+    a, b = a[use], b[use]
+    error = np.sqrt(b * (1 - b) / u[-1]) / a + b / a * np.sqrt((1 - a) / (a * p[-1]))
+    return float(np.clip((b / a + error).min(), 0.05, 0.99))
 
 
 def _rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
