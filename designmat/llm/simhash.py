@@ -53,9 +53,11 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
 
 def _links(x: pd.DataFrame, y: pd.DataFrame, radius: int) -> pd.DataFrame:
     fx, fy = x["fp"].to_numpy().view(np.uint64), y["fp"].to_numpy().view(np.uint64)
+    ox, oy = x["own"].to_numpy(bool), y["own"].to_numpy(bool)
     a, b = [], []
     for i in range(0, len(fx), 256):
         hit = np.bitwise_count(fx[i : i + 256, None] ^ fy[None, :]) <= radius
+        hit &= ox[i : i + 256, None] | oy[None, :]
         p, q = np.nonzero(hit)
         a.append(x["id"].to_numpy()[i + p])
         b.append(y["id"].to_numpy()[q])
@@ -64,16 +66,22 @@ def _links(x: pd.DataFrame, y: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def link_components(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, component_id): component_id is the smallest doc_id whose fingerprint is reachable by links."""
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
+def link_components(fps: DataFrame, radius: int = 2, sized: bool = False) -> DataFrame:
+    """(fp, cls, component_id): component_id is the smallest doc_id whose fingerprint is reachable by links.
+
+    With ``sized`` only rows whose size classes (column cls) are equal or neighbours are compared."""
+    reps = cut((fps if sized else fps.withColumn("cls", F.lit(0))).groupBy("fp", "cls").agg(F.min("doc_id").alias("id")).where("id is not null"))
     n = radius + 1
     cuts = [64 * i // n for i in range(n + 1)]
     segs = F.array(*[
         F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("val"))
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
     ])
-    rows = reps.select("id", "fp", F.expr("bit_count(fp)").cast("int").alias("pop"), F.explode(segs).alias("s")).select("id", "fp", "pop", "s.*")
+    # Each row meets its own class and, as a guest, the next one's rows; two guests don't compare there.
+    blocks = F.array(*[F.struct((F.col("cls") + k).alias("block"), F.lit(k == 0).alias("own")) for k in range(1 + sized)])
+    rows = reps.select("id", "fp", F.expr("bit_count(fp)").cast("int").alias("pop"), F.explode(blocks).alias("b")).select("id", "fp", "pop", "b.*")
+    rows = rows.select("id", "fp", "pop", "block", "own", F.explode(segs).alias("s")).select("id", "fp", "pop", "own", "s.seg", F.struct("block", "s.val").alias("at"))
+    rows = rows.select("id", "fp", "pop", "own", "seg", F.xxhash64("at").alias("val"))  # values that share a hash only compare more
     sizes = rows.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["seg", "val"])
     plain = rows.where(F.col("n") <= TILE)
@@ -93,7 +101,7 @@ def link_components(fps: DataFrame, radius: int = 2) -> DataFrame:
     pair = ["seg", "val", "ti", "tj"]
     large = together(big, *pair).mapInPandas(links(pair), "a long, b long")
     comp = components(small.unionByName(large))
-    return reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return reps.join(comp, reps["id"] == comp["node"], "left").select("fp", "cls", F.coalesce("component", "id").alias("component_id"))
 
 
 def tiled(g: pd.DataFrame, radius: int, tile: int = 512) -> pd.DataFrame:
@@ -114,7 +122,7 @@ def tiled(g: pd.DataFrame, radius: int, tile: int = 512) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2, words_each: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id; one row per input row, null doc_ids keep a null component."""
     fps = cut(fingerprints(docs, words_each))
-    comp = link_components(fps, radius)
+    comp = link_components(fps, radius).drop("cls")
     return fps.join(comp, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
@@ -124,8 +132,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_each: int = 3) -> Da
 BINS, NONE = 256, 0xFFFF
 
 
-def sketch(text: str | None, words_each: int = 5, seed: int = 43) -> bytes:
-    """One-permutation MinHash of the set of word shingles: the least hash of each of 256 bins, two bytes each."""
+def sketch(text: str | None, words_each: int = 5, seed: int = 43) -> tuple[bytes, int]:
+    """One-permutation MinHash of the set of word shingles, the least hash of each of 256 bins in two bytes, and the
+    size of the set."""
     w = (text or "").encode().lower().split()
     parts = {b" ".join(x) for x in zip(*(w[i:] for i in range(words_each)), strict=False)} if len(w) >= words_each else {b" ".join(w)} if w else set()
     out = np.full(BINS, NONE, np.uint16)
@@ -133,47 +142,86 @@ def sketch(text: str | None, words_each: int = 5, seed: int = 43) -> bytes:
         h = np.sort(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts)))
         bins, first = np.unique(h >> np.uint64(56), return_index=True)
         out[bins.astype(np.int64)] = np.minimum(h[first] & np.uint64(0xFFFF), NONE - 1)
-    return out.tobytes()
+    return out.tobytes(), len(parts)
+
+
+def shingle_hashes(text: str | None, words_each: int = 5, seed: int = 43) -> np.ndarray:
+    """Sorted four-byte hashes of the set of word shingles; a shorter text is one shingle, a wordless one has none."""
+    w = (text or "").encode().lower().split()
+    parts = {b" ".join(x) for x in zip(*(w[i:] for i in range(words_each)), strict=False)} if len(w) >= words_each else {b" ".join(w)} if w else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, seed) >> 32 for p in parts), np.uint32, len(parts)))
 
 
 def _alike(x: pd.DataFrame, y: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
-    """Links of two tiles by fingerprint distance and sketch similarity, as spanning stars."""
+    """Links of two tiles as spanning stars. Sketches decide where they are three standard errors off the
+    similarity; in between, pairs that aren't joined yet are decided by their whole shingle sets."""
     fx, fy = x["fp"].to_numpy().view(np.uint64), y["fp"].to_numpy().view(np.uint64)
     sx, sy = (np.stack([np.frombuffer(v, np.uint16) for v in t["sketch"]]) for t in (x, y))
-    full_y, a, b = sy != NONE, [], []
+    ix, iy = x["id"].to_numpy(), y["id"].to_numpy()
+    full_y, a, b, unsure = sy != NONE, [], [], []
     for i in range(len(fx)):
-        near = np.flatnonzero(np.bitwise_count(fx[i] ^ fy) <= radius)
+        near = np.flatnonzero((np.bitwise_count(fx[i] ^ fy) <= radius) & (iy != ix[i]))
         if len(near):
-            used = (sx[i] != NONE) | full_y[near]
-            same = ((sy[near] == sx[i]) & used).sum(1)
-            hit = near[same >= similarity * used.sum(1)]
-            a.append(np.full(len(hit), x["id"].iloc[i]))
-            b.append(y["id"].to_numpy()[hit])
-    if not a:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    a, b = np.concatenate(a), np.concatenate(b)
-    a, b = forest(a[a != b], b[a != b])
-    return pd.DataFrame({"a": a, "b": b})
-
-
-def surplus(docs: DataFrame, radius: int = 9, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
+            used = ((sx[i] != NONE) | full_y[near]).sum(1)
+            share = ((sy[near] == sx[i]) & full_y[near]).sum(1) / np.maximum(used, 1)
+            margin = 3 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+            sure = (share >= similarity + margin) | (used == 0)
+            a.append(np.full(sure.sum(), ix[i]))
+            b.append(iy[near[sure]])
+            unsure += [(i, j) for j in near[~sure & (share >= similarity - margin)].tolist()]
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    a, b = forest(a, b)
+    top = dict(zip(a.tolist(), b.tolist(), strict=True))
+    more = []
+
+    def find(k: int) -> int:
+        while k in top:
+            k = top[k]
+        return k
+
+    hashes = lambda t, k: np.frombuffer(t["hashes"].iloc[k], np.uint32)
+    for i, j in unsure:
+        p, q = sorted((find(int(ix[i])), find(int(iy[j]))))
+        if p != q:
+            hx, hy = hashes(x, i), hashes(y, j)
+            both = len(np.intersect1d(hx, hy, assume_unique=True))
+            if both >= similarity * (len(hx) + len(hy) - both):
+                top[q] = p
+                more.append((p, q))
+    out = pd.DataFrame({"a": a, "b": b})
+    return pd.concat([out, pd.DataFrame(more, columns=["a", "b"])]).astype(np.int64) if more else out.astype(np.int64)
+
+
+def surplus(docs: DataFrame, radius: int = 11, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
     """(doc_id) of all documents but the smallest of each group of near copies.
 
-    Groups are joined by links: fingerprints of three-word shingles within ``radius`` and sketches of five-word
-    shingles that agree to ``similarity``. Fingerprint links alone first give coarse groups; sketches are compared
-    only within these, in tiles. Documents without words are copies of each other; null doc_ids never appear.
+    Groups are joined by links: fingerprints of three-word shingles within ``radius`` and sets of five-word
+    shingles alike to ``similarity``. Fingerprint links of documents of like size first give coarse groups; sketches
+    and, where they leave doubt, whole sets are compared only within these, in tiles. Documents without words are
+    copies of each other; null doc_ids never appear.
     """
+    step = np.log(1 / similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), "sketch": [sketch(t) for t in b["text"]]})
-
-    rows = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, sketch binary"))
-    reps = cut(rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("id")))
-    coarse = cut(reps.join(link_components(rows.select("doc_id", "fp"), radius), "fp").select("component_id", "id", "fp", "sketch"))
+            made = [sketch(t) for t in b["text"]]
+            cls = [int(np.log(n) / step) if n else -1 for _, n in made]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), "cls": cls, "sketch": [v for v, _ in made]})
+
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = cut(docs.mapInPandas(run, "doc_id long, fp long, cls int, sketch binary"))
+    reps = cut(rows.groupBy("fp", "cls", "sketch").agg(F.min("doc_id").alias("id")))
+    coarse = cut(reps.join(link_components(rows.select("doc_id", "fp", "cls"), radius, sized=True), ["fp", "cls"]).select("component_id", "id", "fp", "sketch"))
     sizes = coarse.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = coarse.join(sizes, "component_id").withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="text").assign(hashes=[shingle_hashes(t).tobytes() for t in b["text"]])
+
+    found = coarse.join(sizes, "component_id").join(docs.withColumnRenamed("doc_id", "id"), "id").select("component_id", "tiles", "id", "fp", "sketch", "text")
+    dealt = found.mapInPandas(hashed, "component_id long, tiles int, id long, fp long, sketch binary, hashes binary")
+    dealt = dealt.withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
     dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("ti", F.least("t", "o")).withColumn("tj", F.greatest("t", "o"))
     keys = ["component_id", "ti", "tj"]
 
@@ -185,13 +233,13 @@ def surplus(docs: DataFrame, radius: int = 9, similarity: float = 0.8, tile: int
             if len(x) and len(y):
                 yield _alike(x, y, radius, similarity)
 
-    edges = together(dealt.select(*keys, "t", "id", "fp", "sketch"), *keys).mapInPandas(check, "a long, b long")
-    gone = components(edges).where("node <> component").select(F.col("node").alias("id"))
-    copies = rows.join(reps, ["fp", "sketch"]).where("doc_id <> id").select("doc_id")
-    return copies.unionByName(gone.withColumnRenamed("id", "doc_id")).distinct()
+    edges = together(dealt.select(*keys, "t", "id", "fp", "sketch", "hashes"), *keys).mapInPandas(check, "a long, b long")
+    gone = components(edges).where("node <> component").select(F.col("node").alias("doc_id"))
+    copies = rows.join(reps, ["fp", "cls", "sketch"]).where("doc_id <> id").select("doc_id")
+    return copies.unionByName(gone).distinct()
 
 
-def one_of_each(docs: DataFrame, radius: int = 9, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 11, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: one document of each group stays; rows that repeat a doc_id are one document, of
     which one row stays. Rows without a doc_id stay."""
     gone = cut(surplus(docs, radius, similarity))

@@ -41,11 +41,11 @@ def test_near_copies(steps):
     fps = {i: slow_fingerprint(r["text"]) for i, r in before.items()}
     like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
     ids = sorted(before)
-    for k, a in enumerate(ids):  # no two of the same text stay, and what went has a like document
+    for a in ids:  # what went has a like document, and no two linked ones stay
         if a not in after:
-            assert any(like(a, b) >= 0.72 for b in ids if b != a)
+            assert any(like(a, b) >= 0.8 for b in ids if b != a)
     left = sorted(after)
-    pairs = [(a, b) for k, a in enumerate(left) for b in left[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 7 and like(a, b) >= 0.86]
+    pairs = [(a, b) for k, a in enumerate(left) for b in left[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 11 and like(a, b) >= 0.8]
     assert not pairs
 
 
