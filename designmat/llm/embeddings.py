@@ -4,6 +4,11 @@ Each pass hashes every vector by the signs of seeded random projections, concate
 vectors by it; a vector is compared with a bounded window of neighbours in that order, in double precision. Links
 found in any pass are united. The window only has to join a group: once its members are known, the links inside
 a group are counted exactly, tile of members against tile, so a large group loses none of its links.
+
+Two vectors at an angle a agree in a sign with probability 1 - a / pi, and meet in a pass when they agree in about the
+log2(rows / window) signs that narrow the order down to a window. The number of passes follows from this, so that
+a lone pair right at the threshold is met with the same probability whatever the number of rows. Neighbours on
+either side of a partition's edge are not compared in that pass.
 """
 
 from __future__ import annotations
@@ -18,6 +23,28 @@ from pyspark.sql import functions as F
 from designmat.llm.common import components, cut, forest, runs, table, together
 
 TILE = 1024
+BLOCK = 256
+
+
+def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
+    """Passes after which a pair at the threshold has met with probability ``recall``; 4 at least."""
+    agree = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    meet = agree ** max(0.0, np.log2(max(rows, 1) / window))
+    return max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))) if meet < 1 else 4
+
+
+def neighbours(x: np.ndarray, old: int, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j <= i + window, j not before ``old``, of rows whose product is at least the threshold."""
+    a, b = [], []
+    for i in range(0, len(x), BLOCK):
+        top = min(i + BLOCK, len(x))
+        lo = max(i, old)
+        p, q = np.nonzero(x[i:top] @ x[lo : top + window].T >= threshold)
+        p, q = p + i, q + lo
+        fine = (p < q) & (q <= p + window)
+        a.append(p[fine])
+        b.append(q[fine])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
 
 def _unit(rows) -> np.ndarray:
@@ -26,7 +53,7 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = 8, window: int = 48, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 512, seed: int = 7, recall: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per input row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
@@ -40,6 +67,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = 8,
     rows = rows.withColumn("embedding", F.when(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("embedding")))
     classes = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
 
+    if passes is None:
+        passes = passes_for(classes.count(), threshold, window, recall)
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
@@ -63,10 +93,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = 8,
                 x, i = _unit(g["embedding"]), g["id"].to_numpy()
                 if key == at:
                     x, i = np.concatenate([tail, x]), np.concatenate([ids, i])
-                found = [(i[:-k][hit], i[k:][hit]) for k in range(1, min(window, len(i) - 1) + 1) for hit in [np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold]]
+                old = len(tail) if key == at else 0
+                p, q = neighbours(x, old, window, threshold)
                 at, tail, ids = key, x[-window:], i[-window:]
-                if found:
-                    a, c = forest(*map(np.concatenate, zip(*found, strict=True)))
+                if len(p):
+                    a, c = forest(i[p], i[q])
                     yield pd.DataFrame({"a": a, "b": c})
 
     groups = components(ordered.mapInPandas(near, "a long, b long"))

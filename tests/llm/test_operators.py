@@ -49,6 +49,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_op1_lone_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.linspace(0.9005, 0.92, 300)[:, None]
+    side = rng.standard_normal((300, 64))
+    side -= (side * x[:300]).sum(1, keepdims=True) * x[:300]
+    x[-300:] = c * x[:300] + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [r["n_links"] for r in embeddings.near_duplicates(df, window=32).orderBy("vec_id").collect()]
+    assert sum(got[:300]) >= 290 and max(got) == 1 and sum(got[300:-300]) == 0
+    a, b = embeddings.neighbours(x[:900], 400, 40, 0.3)
+    y = x[:900] @ x[:900].T
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for j in range(400, 900) for i in range(max(0, j - 40), j) if y[i, j] >= 0.3}
+
+
 def test_op1_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     rng = np.random.default_rng(2)
