@@ -14,4 +14,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
-ORACLE_SQL = {"op2_licenses": licenses.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_licenses": licenses.ORACLE_SQL, "op3_secrets": secrets.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

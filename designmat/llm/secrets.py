@@ -180,3 +180,66 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL of the report; its patterns know no lookbehind, which a greedy run from its first sign makes needless."""
+    word = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    patterns = [ASSIGN.replace("(?i:(password|passwd|secret|token|api_?key))", f"({word})"), ACCESS, HEX, OPAQUE.partition(")")[2]]
+
+    def spans(kind: int, least: int = 0) -> str:
+        at = quoted(patterns[kind])
+        value = f"regexp_extract_all(t, {at}, 2)" if least else "h"
+        return f"""select rid, {kind} as kind, e - length(h) as s, e, v from (
+            select rid, h, v, sum(length(g) + length(h)) over (partition by rid order by i) as e from (
+              select rid, unnest(h) as h, unnest(g[1:len(h)]) as g, unnest({value}) as v, unnest(range(len(h))) as i
+              from (select rid, t, regexp_extract_all(t, {at}) as h, string_split_regex(t, {at}) as g from d where regexp_matches(t, {at}))))
+            where length(v) >= {least}"""
+
+    def tail(z: str) -> str:
+        t = f"(1 / (1 + 0.3275911::double * (abs({z}) / sqrt(2::double))))"
+        poly = reduce(lambda acc, c: f"(({acc} + ({c})::double) * {t})", ["1.061405429", "-1.453152027", "1.421413741", "-0.284496736", "0.254829592"], "0")
+        return f"(0.5::double * {poly} * exp(-(abs({z}) / sqrt(2::double)) * (abs({z}) / sqrt(2::double))))"
+
+    fits = " ".join(f"when regexp_matches(v, {quoted(pattern)}) then " + "{}" for _, pattern, _ in ENCODINGS[:-1])
+    pick = lambda k: "case " + fits.format(*(f"'{e[k]}'" for e in ENCODINGS[:-1])) + f" else '{ENCODINGS[-1][k]}' end"
+    count = lambda k: f"coalesce(len(list_filter(base, lambda x: x.kind = {k})), 0)::bigint as n_{KINDS[k]}"
+    said = lambda x: f"coalesce(array_to_string(list_transform(list_sort({x}), lambda x: {KINDS}[x.kind + 1] || ':' || x.s || ':' || x.e), ','), '')"
+    one = "struct_pack(s := s::bigint, kind := kind, e := e::bigint)"
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+    base as ({spans(0, 6)} union all {spans(1)} union all {spans(2)}),
+    opaque as (select rid, kind, s, e, v, row_number() over () as vid, {pick(0)} as name, {pick(2)} as letters
+      from ({spans(3)}) where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')),
+    signs as (select vid, unnest(string_split(v, '')) as c, unnest(range(length(v))) as i, letters from opaque),
+    places as (select vid, i, c, strpos(letters, c)::double as p, length(letters)::double as k from signs),
+    sums as (select vid, count(*)::double as n, max(k) as k, sum(p) / count(*) as centre, sum(case when p > k / 2 then 1.0::double else 0 end) as high from places group by vid),
+    squares as (select vid, sum(m * m)::double as sq from (select vid, c, count(*) as m from places group by vid, c) group by vid),
+    steps as (select vid, i, p, k, lag(p) over (partition by vid order by i) as last from places),
+    moves as (select vid, sum(case when (p > x.k / 2) <> (last > x.k / 2) then 1.0::double else 0 end) as switches,
+      sum((last - centre) * (p - centre)) as r, sum((p - centre) * (p - centre)) as spread from steps x join sums using (vid) group by vid),
+    stats as (select vid, n, r, spread, switches, 2 * high * (n - high) / n + 1 as m, greatest(sq * k / n - n, 0) as chi, k - 1 as df
+      from sums join squares using (vid) join moves using (vid)),
+    scores as (select vid, n, (m - 1) * (m - 2) / (n - 1) as var, m, switches, spread,
+      (pow(chi / df, 1 / 3::double) - (1 - 2 / 9::double / df)) / sqrt(2 / 9::double / df) as zc,
+      case when spread > 0 then r / spread * sqrt(n) else 0 end as zs from stats),
+    zs as (select *, case when var > 0 then (1 + switches - m) / sqrt(var) else 0 end as zr from scores),
+    ps as (select vid, n, case when zc > 0 then {tail("zc")} else 1 - {tail("zc")} end as a,
+      case when var > 0 then 2 * {tail("zr")} else 0 end as b, case when spread > 0 then 2 * {tail("zs")} else 0 end as c from zs),
+    tested as (select rid, kind, s, e, least(1, 3 * least(a, b, c)) as p,
+      name || ':' || case when n < 32 then '24' when n < 64 then '32' when n < 256 then '64' else '256' end as stratum from ps join opaque using (vid)),
+    levels as (select stratum, least({FINEST}, floor(-log10(greatest(p, 1e-20::double)) * {GRID}))::int as level, count(*) as n from tested group by 1, 2),
+    ranked as (select stratum, level, sum(n) over (partition by stratum order by level desc) as rank, sum(n) over (partition by stratum) as total from levels),
+    bounds as (select stratum, pow(10::double, -min(level) / {GRID}::double) as top from ranked
+      where pow(10::double, -level / {GRID}::double) <= 0.05::double * rank / total group by stratum),
+    more as (select rid, kind, s, e from tested left join bounds using (stratum) where p > coalesce(top, -1)
+      and not exists (select 1 from base where base.rid = tested.rid and base.s < tested.e and tested.s < base.e)),
+    by_base as (select rid, list({one}) as base from base group by rid),
+    by_all as (select rid, list({one}) as found from (select rid, kind, s, e from base union all from more) group by rid)
+    select doc_id, {count(0)}, {count(1)}, {count(2)}, sha256({said("base")}) as base_sha256, {said("found")} as spans
+    from d left join by_base using (rid) left join by_all using (rid)"""
+
+
+#: Holds for the query's own rate of 0.05.
+ORACLE_SQL = _oracle()
