@@ -35,6 +35,36 @@ ENCODINGS = [
     ("base64url", "", _UP + _LOW + _DIGIT + "-_"),
 ]
 GRID, FINEST = 20, 400
+BLOCK = 512
+
+
+def _let(x: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _blocks(xs: Column) -> Column:
+    """Numbers of the blocks of a bound array, none for an empty one."""
+    return F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _scan(xs: Column, zero: Column, kind: str, step) -> Column:
+    """The outputs of step(state, x) -> (state, output) along xs. Outputs are appended within blocks and blocks to
+    each other, so that a text with very many matches isn't copied whole for each."""
+    none = lambda of: F.array().cast(f"array<{of}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.array_append(acc["out"], out).alias("out"))
+
+    def run(all_: Column) -> Column:
+        def block(acc: Column, i: Column) -> Column:
+            done = F.aggregate(F.slice(all_, i * BLOCK + 1, BLOCK), F.struct(acc["state"].alias("state"), none(kind).alias("out")), one)
+            return _let(done, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+        return F.flatten(F.aggregate(_blocks(all_), F.struct(zero.alias("state"), none(f"array<{kind}>").alias("out")), block)["out"])
+
+    return _let(xs, run)
 
 
 def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
@@ -42,23 +72,29 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else hits
     between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    fields = "struct<start:int,kind:int,end:int,value:string>"
     all_ = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        grown = F.array_append(acc["out"], one)
-        return F.struct(end.alias("at"), (F.when(F.length(x["value"]) >= least, grown).otherwise(acc["out"]) if least else grown).alias("out"))
+        return end, F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["value"].alias("value"))
 
-    found = F.aggregate(all_, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    found = _scan(all_, F.lit(0), fields, step)
+    found = F.filter(found, lambda x: F.length(x["value"]) >= least) if least else found
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{fields}>"))
 
 
-def _let(x: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.transform(F.array(x), f)[0]
+def _apart(base: Column, more: Column) -> Column:
+    """The spans of more that overlap none of base: along the starts with the furthest end so far, then back with the
+    nearest start."""
+    fields = "struct<start:int,kind:int,end:int,bad:boolean>"
+    span = lambda x, bad: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), bad.alias("bad"))
+    own = lambda x: x["kind"] == KINDS.index("random")
+    merged = F.array_sort(F.transform(F.concat(base, more), lambda x: span(x, F.lit(False))))
+    ahead = _scan(merged, F.lit(0), fields, lambda far, x: (F.when(own(x), far).otherwise(F.greatest(far, x["end"])), span(x, own(x) & (far > x["start"]))))
+    back = _scan(F.reverse(ahead), F.lit(2**31 - 1), fields, lambda near, x: (F.when(own(x), near).otherwise(F.least(near, x["start"])), span(x, x["bad"] | (near < x["end"]))))
+    return F.transform(F.filter(back, lambda x: own(x) & ~x["bad"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
 
 def _tail(z: Column) -> Column:
@@ -144,10 +180,9 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     base = F.array_sort(F.concat(bare(_spans(t, ASSIGN, "assign", 6)), access, bare(_spans(t, HEX, "hex"))))
     bound = F.create_map(*[F.lit(x) for kv in limit.items() for x in kv]) if limit else None
     ok = lambda s: s["test"]["p"] > (F.coalesce(F.try_element_at(bound, s["test"]["stratum"]), F.lit(-1.0)) if limit else -1.0)
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.when(t.rlike(OPAQUE), F.filter(_tested(t), lambda s: ok(s) & apart(s))).otherwise(F.array())
-    with_base = docs.withColumn("base", base)
-    return with_base.withColumn("found", F.array_sort(F.concat("base", bare(more.cast("array<struct<start:int,kind:int,end:int,value:string,test:struct<stratum:string,p:double>>>")))))
+    more = F.filter(_tested(t), ok)
+    more = F.when(t.rlike(OPAQUE), _apart(F.col("base"), bare(more))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return docs.withColumn("base", base).withColumn("found", F.array_sort(F.concat("base", more)))
 
 
 def said(spans: str) -> Column:
@@ -165,13 +200,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     done = scan(docs)
     t = F.coalesce("text", F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        text = F.when(new, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
+    gap = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    gaps = _scan(F.col("found"), F.lit(0), "struct<lo:int,hi:int>", lambda at, x: (F.greatest(at, x["end"]), gap(at, x["start"])))
+    last = gap(F.array_max(F.transform("found", lambda x: x["end"])), F.length(t))
+    kept = F.array_append(F.filter(gaps, lambda g: g["lo"] <= g["hi"]), last)  # overlapping spans are one
+
+    def written(all_: Column) -> Column:
+        def block(i: Column) -> Column:
+            def pieces(b: Column) -> Column:
+                lo = b[0]["lo"]
+                part = F.substring(t, lo + 1, F.element_at(b, -1)["hi"] - lo)
+                return _let(part, lambda v: F.array_join(F.transform(b, lambda g: F.substring(v, g["lo"] - lo + 1, g["hi"] - g["lo"])), mark))
+
+            return _let(F.slice(all_, i * BLOCK + 1, BLOCK), pieces)
+
+        return F.array_join(F.transform(_blocks(all_), block), mark)
 
-    end = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-    text = F.when(F.size("found") > 0, F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)).otherwise(F.col("text"))
+    text = F.when(F.size("found") > 0, _let(kept, written)).otherwise(F.col("text"))
     out = done.withColumn("text", text).drop("base", "found")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
