@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The document frequency of every n-gram of the benchmark is counted over the whole corpus. Each item keeps the
-rarest n-gram of every few neighbouring ones, so a run of copied words of that reach always holds a seed, also
-where a passage is so common that all its n-grams are frequent. Where a seed of an item meets a document, the
-item is aligned with the words around it. Benchmark items go to the tasks in blocks of bounded size; a larger
-benchmark takes more passes over the corpus, never more memory.
+An alignment that reaches the limit leaves at least a certain number of an item's n-grams whole (see ``shared``), so
+of its g n-grams any g - shared + 1 hold one that such an alignment meets. The document frequency of the n-grams is
+counted over the whole corpus, and the rarest that many are the item's seeds: none of the alignments is lost. Where
+a seed meets a document, and the words around it hold as many of the item's n-grams as they must, the item is
+aligned with them. Benchmark items go to the tasks in blocks of bounded size; a larger benchmark takes more passes
+over the corpus, never more memory.
 """
 
 from __future__ import annotations
@@ -26,17 +27,30 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(SIGNS).split()
 
 
+def shared(size: int, n: int, least: float) -> int:
+    """How many n-grams of an item of ``size`` words any alignment of score ``least`` x size leaves whole, at least.
+
+    A mismatch or a word left out lowers the score by 2 and breaks n of them, an inserted word lowers it by 1 and
+    breaks n - 1, and so does a word beyond the alignment's ends, which breaks one more.
+    """
+    return int(np.ceil(size - n + 1 - (1 - least) * size * max(n / 2, n - 1, 1) - 1e-9))
+
+
 class Items:
-    """A block of benchmark items as word numbers, with their n-grams."""
+    """A block of benchmark items as word numbers, with their n-grams of all lengths up to n that can be seeds."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], n: int):
+    def __init__(self, rows: list[tuple[int, str | None]], n: int, least: float):
         self.ids = [i for i, _ in rows]
         split = [words(t) for _, t in rows]
         self.vocab = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
         self.words = [np.array([self.vocab[w] for w in s], np.int64) for s in split]
-        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
-        grams = [(h, k, p) for k, w in enumerate(self.words) if len(w) for p, h in enumerate(self.grams(w, min(n, len(w))).tolist())]
-        self.gram, self.item, self.at = (np.array(x, np.int64) for x in (zip(*grams, strict=True) if grams else ([], [], [])))
+        self.reach = [int((1 - least) * len(w)) + 1 for w in self.words]  # words that an alignment can insert
+        self.lengths = [[q for q in range(2, n + 1) if shared(len(w), q, least) > 0] or [1] for w in self.words]
+        self.must = [max(1, shared(len(w), ls[0], least)) for w, ls in zip(self.words, self.lengths, strict=True)]
+        self.least = least
+        grams = [self.grams(w, q) for w, ls in zip(self.words, self.lengths, strict=True) for q in ls]
+        self.known = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.int64)
+        self.sizes = sorted({q for ls in self.lengths for q in ls})
 
     @staticmethod
     def grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -56,23 +70,32 @@ class Items:
         w = words(text)
         return np.fromiter((self.vocab.get(x, -1) for x in w), np.int64, len(w))
 
-    def keep(self, often: dict[int, int], reach: int) -> None:
-        """Seeds only: the rarest of each ``reach`` neighbouring n-grams of an item, the first of equals."""
-        rare = np.array([often.get(g, 0) for g in self.gram.tolist()], np.int64)
-        use = np.zeros(len(rare), bool)
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.item == k)
-            for i in range(max(1, len(own) - reach + 1) if len(own) else 0):
-                near = own[i : i + reach]
-                use[near[np.argmin(rare[near])]] = True
-        order = np.flatnonzero(use)[np.argsort(self.gram[use], kind="stable")]
+    def keep(self, gram: np.ndarray, often: np.ndarray) -> None:
+        """Seeds: the rarest n-grams of each item, as many as it takes for no alignment to miss them all; of its
+        lengths the one whose seeds are met least often. n-grams of no document meet nothing and are left out."""
+        order = np.argsort(gram)
+        gram, often = gram[order], often[order]
+        seeds = []
+        for k, w in enumerate(self.words):
+            best = None
+            for q in self.lengths[k] if len(w) else []:
+                g = self.grams(w, q)
+                at = np.minimum(np.searchsorted(gram, g), max(len(gram) - 1, 0))
+                n = np.where(gram[at] == g, often[at], 0) if len(gram) else np.zeros(len(g), np.int64)
+                use = np.argsort(n, kind="stable")[: len(g) - max(1, shared(len(w), q, self.least)) + 1]
+                if best is None or n[use].sum() <= best[0]:
+                    use = use[n[use] > 0]
+                    best = n[use].sum(), g[use], use
+            if best:
+                seeds.append((best[1], np.full(len(best[1]), k), best[2]))
+        self.gram, self.item, self.at = (np.concatenate(x).astype(np.int64) if seeds else np.empty(0, np.int64) for x in (zip(*seeds, strict=True) if seeds else [()] * 3))
+        order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.at = self.gram[order], self.item[order], self.at[order]
 
     def windows(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, end) of the stretches of a document that hold seeds of an item."""
-        hits = []
-        for n in self.sizes:
-            g = self.grams(ids, n)
+        """(item, first word, end) of the stretches of a document that hold seeds of an item and enough of its n-grams."""
+        hits, grams = [], {n: self.grams(ids, n) for n in self.sizes}
+        for g in grams.values():
             p = np.flatnonzero(g >= 0)
             lo, hi = np.searchsorted(self.gram, g[p], "left"), np.searchsorted(self.gram, g[p], "right")
             for i, a, b in zip(p[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
@@ -80,12 +103,16 @@ class Items:
         out: list[tuple[int, int, int]] = []
         for item, start in sorted(set(hits)):
             size = len(self.words[item])
-            a, b = max(0, start - size // 2 - 1), min(len(ids), start + size + size // 2 + 1)
+            a, b = max(0, start - self.reach[item]), min(len(ids), start + size + self.reach[item])
             if out and out[-1][0] == item and a <= out[-1][2]:
                 out[-1] = (item, out[-1][1], max(b, out[-1][2]))
             else:
                 out.append((item, a, b))
-        return out
+        return [x for x in out if self.enough(grams[self.lengths[x[0]][0]], *x)]
+
+    def enough(self, grams: np.ndarray, item: int, a: int, b: int) -> bool:
+        n = self.lengths[item][0]
+        return int(np.isin(self.grams(self.words[item], n), grams[a : b - n + 1]).sum()) >= self.must[item]
 
 
 def align(item: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +149,19 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str | N
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, reach: int = 4, least: float = 0.6, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.6, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, score (share of the item's own score), matched words score as n_score, end_word; one row
     for each document row and item whose alignment reaches ``least``.
 
-    Null and empty texts and items match nothing; an item of fewer than n words is its own seed; repeated rows
-    give repeated results. Documents are only mapped: no row of the corpus is shuffled.
+    Null and empty texts and items match nothing; n is the greatest length of a seed; repeated rows give repeated
+    results. Documents are only mapped: no row of the corpus is shuffled.
     """
     docs, out = docs.select("doc_id", "text"), None
     for rows in _blocks(benchmark, block_chars):
-        items = Items(rows, n)
+        items = Items(rows, n, least)
 
         def count(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
-            known = np.unique(items.gram)
+            known = items.known
             total = np.zeros(len(known), np.int64)
             for b in batches:
                 for t in b["text"]:
@@ -147,8 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, reach: int =
                         total[at] += 1
             yield pd.DataFrame({"gram": known[total > 0], "n": total[total > 0]})
 
-        often = docs.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most the block's n-grams
-        items.keep({r["gram"]: r["n"] for r in often}, reach)
+        often = docs.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most the block's n-grams
+        items.keep(often["gram"].to_numpy(), often["n"].to_numpy())
 
         def find(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -339,5 +339,23 @@ def test_op10_edits(spark, odd):
     assert decontam.contaminated(odd, b).count() == 0 and decontam.contaminated(odd.limit(0), b).count() == 0 and decontam.contaminated(odd, b.limit(0)).count() == 0
 
 
+def test_op10_edits_at_short_distances(spark):
+    rng = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(300)]
+    items = {size: " ".join(rng.choice(vocab, size)) for size in (1, 2, 3, 12, 20, 40, 100)}
+    texts = list(items.values()) + [" ".join(rng.choice(vocab, 200)) for _ in range(20)]
+    for size in (12, 20, 40, 100):
+        for every in (3, 4, 5, 6, 7):
+            for kind in ("replace", "insert", "drop"):
+                w = items[size].split()
+                for p in range(len(w) - every, -1, -every):
+                    w[p : p + 1] = {"replace": ["edited"], "insert": [w[p], "edited"], "drop": []}[kind]
+                texts.append(" ".join([*rng.choice(vocab, 30), *w, *rng.choice(vocab, 30)]))
+    want = {(d, i): slow_align(items[i].split(), t.split()) for d, t in enumerate(texts) for i in items}
+    want = {k: s for k, s in want.items() if s >= 0.6 * k[1]}
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["n_score"] for r in got.collect()} == want and len(want) > 60
+
+
 def test_all_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
