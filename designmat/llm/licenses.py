@@ -46,21 +46,50 @@ RULES = [
     ("GPL-2.0-or-later", ["Gpl2Later"]),
     ("MPL-2.0", ["MplName"]),
 ]
+# Licences by the names that short statements give them.
+NAMES = {
+    "MIT": ["the mit license"],
+    "Apache-2.0": ["the apache license version 2 0", "the apache license 2 0"],
+    "BSD-2-Clause": ["the bsd 2 clause license"],
+    "BSD-3-Clause": ["the bsd 3 clause license"],
+    "GPL-2.0": ["the gnu general public license version 2", "the gpl v2 license"],
+    "GPL-3.0": ["the gnu general public license version 3", "the gpl v3 license"],
+    "LGPL-2.1": ["the gnu lesser general public license version 2 1"],
+    "LGPL-3.0": ["the gnu lesser general public license version 3"],
+    "AGPL-3.0": ["the gnu affero general public license version 3"],
+    "MPL-2.0": ["the mozilla public license version 2 0"],
+    "ISC": ["the isc license"],
+    "CC0-1.0": ["cc0 1 0"],
+    "CC-BY-4.0": ["cc by 4 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0"],
+}
+FORMS = ["released under", "licensed under", "this work is licensed under", "this project is licensed under", "this project is released under", "this software is licensed under", "this software is released under"]
+for _name, _forms in NAMES.items():
+    for _sentence in [f"{f} {n}" for n in _forms for f in FORMS]:
+        if _sentence not in SENTENCES.values():
+            _id = "".join(w.capitalize() for w in _sentence.split())
+            SENTENCES[_id] = _sentence
+            RULES.append((_name, [_id]))
 #: Every known sentence holds one of these, so texts without them need no cutting.
-HINT = "(?i)license|copyright|redistribut|warranty"
+HINT = "(?i)license|copyright|redistribut|warranty|released[^a-z0-9]+under"
 STOP = r"[.!?;:]+([ \t\r\n\f]|\z)"
 LINE = r"[.!?;:]+([ \t\r\n\f]|\z)|[\r\n]+"
 
 
 def _identifiers(text: Column, ends: str) -> Column:
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
+    known = F.str_to_map(F.lit(",".join(f"{s}:{i}" for i, s in SENTENCES.items())), F.lit(","), F.lit(":"))
     cut = F.split(F.regexp_replace(text, ends, "\x01"), "\x01")
     plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
 
 
 def _matched(ids: Column) -> Column:
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in seq)).alias("seq")) for name, seq in RULES])
+    listed = ",".join(f"{name}:{''.join(f'<{i}>' for i in seq)}" for name, seq in RULES)
+    rules = F.transform(F.split(F.lit(listed), ","), lambda r: F.struct(F.split_part(r, F.lit(":"), F.lit(1)).alias("name"), F.split_part(r, F.lit(":"), F.lit(2)).alias("seq")))
     row = F.concat(F.lit(""), F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     start = F.struct(row.alias("row"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.struct(

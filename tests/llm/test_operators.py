@@ -111,6 +111,22 @@ def test_op2_rules(spark, odd):
     assert licenses.licenses(odd).count() == len(ODD)
 
 
+def test_op2_licence_lines(spark, docs):
+    said = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+    }
+    got = {r["doc_id"]: set(r["licenses"].split(",")) for r in licenses.op2_licenses(spark, SF).collect()}
+    for line, name in said.items():
+        holds = [i for i, t in docs.items() if line in (t or "")]
+        assert holds and all(name in got[i] for i in holds), line
+    more = {
+        "This project is released under the MIT License": "MIT", "Released under CC BY-SA 4.0.": "CC-BY-SA-4.0", "mit": "", "MIT. A license": "",
+    }
+    rows = licenses.licenses(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in rows] == list(more.values())
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN.replace("(?i:(password|passwd|secret|token|api_?key))", "((?i:password|passwd|secret|token|api_?key))"), text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
