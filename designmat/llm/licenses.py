@@ -30,6 +30,18 @@ SENTENCES = {
     "Gpl3Later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "Gpl2Later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "MplName": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    # The same as unaltered texts give them, cut at a colon, a semicolon or a stop.
+    "MitGrantPart": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "MitNotice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "Gpl3LaterPart": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "Agpl3LaterPart": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "Lgpl3LaterPart": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "GplPart": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "LgplPart": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "Later2Part": "either version 2 of the license or at your option any later version",
+    "Later21Part": "either version 2 1 of the license or at your option any later version",
+    "Later3Part": "either version 3 of the license or at your option any later version",
+    "MplPart": "this source code form is subject to the terms of the mozilla public license v",
 }
 # Ordered rules: an earlier one uses up the identifiers it matches.
 RULES = [
@@ -45,6 +57,17 @@ RULES = [
     ("GPL-3.0-or-later", ["Gpl3Later"]),
     ("GPL-2.0-or-later", ["Gpl2Later"]),
     ("MPL-2.0", ["MplName"]),
+    ("MIT", ["MitGrantPart", "MitNotice", "MitAsIs"]),
+    ("MIT", ["MitGrantPart", "MitNotice"]),
+    ("MIT", ["MitGrantPart"]),
+    ("GPL-3.0-or-later", ["Gpl3LaterPart"]),
+    ("AGPL-3.0-or-later", ["Agpl3LaterPart"]),
+    ("LGPL-3.0-or-later", ["Lgpl3LaterPart"]),
+    ("GPL-2.0-or-later", ["GplPart", "Later2Part"]),
+    ("GPL-3.0-or-later", ["GplPart", "Later3Part"]),
+    ("LGPL-2.1-or-later", ["LgplPart", "Later21Part"]),
+    ("LGPL-3.0-or-later", ["LgplPart", "Later3Part"]),
+    ("MPL-2.0", ["MplPart"]),
 ]
 # Licences by the names that short statements give them.
 NAMES = {
@@ -76,7 +99,8 @@ for _name, _forms in NAMES.items():
             RULES.append((_name, [_id]))
 #: Every known sentence holds one of these, so texts without them need no cutting.
 HINT = "(?i)license|copyright|redistribut|warranty|released[^a-z0-9]+under"
-STOP = r"[.!?;:]+([ \t\r\n\f]|\z)"
+#: Blank lines end a sentence too, also those that hold only the marks of a comment.
+STOP = r"[.!?;:]+([ \t\r\n\f]|\z)|\n[ \t\r#*/;-]*\n"
 LINE = r"[.!?;:]+([ \t\r\n\f]|\z)|[\r\n]+"
 
 
