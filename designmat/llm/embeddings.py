@@ -6,9 +6,12 @@ found in any pass are united. The window only has to join a group: once its memb
 a group are counted exactly, tile of members against tile, so a large group loses none of its links.
 
 Two vectors at an angle a agree in a sign with probability 1 - a / pi, and meet in a pass when they agree in about the
-log2(rows / window) signs that narrow the order down to a window. The number of passes follows from this, so that
-a lone pair right at the threshold is met with the same probability whatever the number of rows. Neighbours on
-either side of a partition's edge are not compared in that pass.
+log2(rows / window) signs that narrow the order down to a window. The number of passes follows from this, with two
+signs to spare, so that a lone pair right at the threshold is met with the same probability whatever the number of
+rows. In a crowded direction more signs would be needed: vectors that agree in all counted signs with the one a
+whole window away, in any of a few probing passes, are compared with each other exactly, tile against tile. A pair
+with one end outside the crowd is met from that end. Neighbours on either side of a partition's edge are not
+compared in that pass.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from designmat.llm.common import components, cut, forest, runs, table, together
 
 TILE = 1024
 BLOCK = 256
+PROBES = 4
 
 
 def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
@@ -67,10 +71,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
     rows = rows.withColumn("embedding", F.when(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("embedding")))
     classes = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
 
+    many = classes.count()
+    counted = min(64, int(np.ceil(np.log2(many / window))) + 2) if many > window else 0
     if passes is None:
-        passes = passes_for(classes.count(), threshold, window, recall)
+        passes = passes_for(window << counted, threshold, window, recall)
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pd.DataFrame], passes: int = passes) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for dim, g in b.groupby(b["embedding"].map(len)):
@@ -100,7 +106,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
                     a, c = forest(i[p], i[q])
                     yield pd.DataFrame({"a": a, "b": c})
 
-    groups = components(ordered.mapInPandas(near, "a long, b long"))
+    def crowded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail, ids, at = np.empty(0, np.uint64), np.empty(0, np.int64), None
+        for b in batches:
+            for key, g in b.groupby(["p", "dim"], sort=True):
+                s, i = np.frombuffer(b"".join(g["sig"]), ">u8").astype(np.uint64), g["id"].to_numpy()
+                if key == at:
+                    s, i = np.concatenate([tail, s]), np.concatenate([ids, i])
+                same = (s[:-window] ^ s[window:]) >> np.uint64(64 - counted) == 0
+                at, tail, ids = key, s[-window:], i[-window:]
+                yield pd.DataFrame({"id": np.union1d(i[:-window][same], i[window:][same])})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["dim", "ti", "tj"]):
+            x, i, left = _unit(g["embedding"]), g["id"].to_numpy(), (g["t"] == g["ti"]).to_numpy()
+            right = left if g["ti"].iloc[0] == g["tj"].iloc[0] else ~left
+            p, q = np.nonzero(x[left] @ x[right].T >= threshold)
+            a, c = i[left][p], i[right][q]
+            a, c = forest(a[a != c], c[a != c])
+            yield pd.DataFrame({"a": a, "b": c})
+
+    pairs = ordered.mapInPandas(near, "a long, b long")
+    if counted:
+        probe = lambda batches: keyed(batches, PROBES)
+        probes = classes.mapInPandas(probe, schema).drop("embedding").repartitionByRange(*order).sortWithinPartitions(*order)
+        crowd = cut(probes.mapInPandas(crowded, "id long").distinct())
+        tiles = -(-crowd.count() // TILE)
+        if tiles:
+            hot = classes.join(crowd, "id").select("id", "embedding", F.size("embedding").alias("dim"), F.expr(f"cast(pmod(xxhash64(id), {tiles}) as int)").alias("t"))
+            hot = hot.withColumn("o", F.explode(F.expr(f"sequence(0, {tiles - 1})"))).withColumn("ti", F.least("t", "o")).withColumn("tj", F.greatest("t", "o"))
+            pairs = pairs.unionByName(together(hot.select("dim", "ti", "tj", "t", "id", "embedding"), "dim", "ti", "tj").mapInPandas(compare, "a long, b long"))
+    groups = components(pairs)
     members = classes.join(groups, classes["id"] == groups["node"]).drop("node")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = members.join(sizes, "component").withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))

@@ -65,6 +65,20 @@ def test_op1_lone_pairs_at_the_threshold(spark):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for j in range(400, 900) for i in range(max(0, j - 40), j) if y[i, j] >= 0.3}
 
 
+def test_op1_crowded_direction(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 500)
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    x[:2000] = unit(np.sqrt(0.8) * x[0] + np.sqrt(0.2) * x[:2000])  # a third in a cone of mutual cosine 0.8
+    side = rng.standard_normal((300, 64))
+    x[2000:2300] = 0.91 * x[:300] + np.sqrt(1 - 0.91**2) * unit(side - (side * x[:300]).sum(1, keepdims=True) * x[:300])
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r["n_links"] for r in embeddings.near_duplicates(df, window=32).orderBy("vec_id").collect()])
+    assert want.sum() >= 600 and (got <= want).all() and got.sum() >= 0.98 * want.sum(), (got.sum(), want.sum())
+
+
 def test_op1_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     rng = np.random.default_rng(2)
