@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from designmat.llm.common import table
+from designmat.llm.signs import Signs
 
 
 def byte_letters() -> list[str]:
@@ -53,24 +53,31 @@ class Vocabulary:
             self.parts.setdefault(c, (a, b))
         self.born = {c: self.rank[p] for c, p in self.parts.items()}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.spines: tuple[dict[int, list], dict[int, list]] = {}, {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """(subtoken, rank at which it is used up) along the right (1) or left (0) edge of a token."""
-        out, dies = [], float("inf")
-        while True:
-            out.append((token, dies))
-            if token not in self.parts:
-                return out
-            dies, token = self.born[token], self.parts[token][side]
+        out = self.spines[side].get(token)
+        if out is None:
+            out, dies, at = [], float("inf"), token
+            while at in self.parts:
+                out.append((at, dies))
+                dies, at = self.born[at], self.parts[at][side]
+            out.append((at, dies))
+            self.spines[side][token] = out
+        return out
 
     def compatible(self, a: int, b: int) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            left = self.spine(b, 0)
-            known = self.fits[a, b] = not any(
-                (r := self.rank.get((x, y))) is not None and r < dx and r <= dy for x, dx in self.spine(a, 1) for y, dy in left
-            )
+            left, rank, known = self.spine(b, 0), self.rank, True
+            for x, dx in self.spine(a, 1):
+                for y, dy in left:
+                    r = rank.get((x, y))
+                    if r is not None and r < dx and r <= dy:
+                        known = False
+            self.fits[a, b] = known
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
         return known
@@ -139,7 +146,6 @@ class Encoder:
 
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-SPACES = regex.compile(r"\s+")
 
 
 class Memo(dict):
@@ -164,8 +170,12 @@ class WordCodec:
     """Encoding and decoding with a lower-casing word-end vocabulary."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.v = Vocabulary(path)
         self.enc = Encoder(self.v)
+        self.normal = Tokenizer.from_file(path).normalizer
+        self.signs = Signs()
         self.letters = byte_letters()
         self.ids = Memo(lambda w: array("i", self.word(w)).tobytes())
         self.texts = Memo(lambda w: " ".join(map(str, array("i", self.ids[w]))))
@@ -181,13 +191,10 @@ class WordCodec:
             if part in self.v.special:
                 out.append(f"\0{part}")
                 continue
-            if not part.isascii():
-                # Lower-casing goes letter by letter: no final-sigma rule.
-                part = unicodedata.normalize("NFC", part)
-                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            else:
-                part = part.lower()
-            out += SPLIT.findall(part)
+            if part.isascii():
+                out += SPLIT.findall(part.lower())
+            else:  # case, composition and classes beyond ASCII are the library's own
+                out += self.signs.split(SPLIT, self.normal.normalize_str(part))
         return out
 
     def word(self, w: str) -> list[int]:

@@ -3,8 +3,10 @@
 Two deterministic machines: one over character classes that finds where pre-tokens begin, one over bytes whose
 transitions carry the number of tokens they add. The first has a dozen states, so each chunk of a batch of texts
 becomes a map from entry state to leaving state; the maps compose by a parallel prefix scan, and a second look at
-each chunk from its known entry state places the borders. The second machine is compiled as states are met (its
-start state recurs at each border) and is bounded by a restart when it holds too many states.
+each chunk from its known entry state places the borders. Each border takes the second machine back to its start
+state, so its chunks are cut at borders and their maps have one entry: all chunks of a batch are run side by side
+through one transition table, the counts on the transitions are kept by place, and a prefix sum over them gives
+the tokens of every text. The table is compiled as transitions are met and is bounded.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from designmat.llm.bpe import Memo, Vocabulary, byte_letters, default_path
+from designmat.llm.bpe import Vocabulary, byte_letters, default_path
 from designmat.llm.common import table
+from designmat.llm.signs import LETTER, NUMBER, OTHER, SPACE, Signs
 
 # Character classes. R, V, E, L, and STMD are the letters that contractions are spelt with.
-LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE, STMD, R_, V_, E_, L_, END = range(12)
+BLANK, QUOTE, STMD, R_, V_, E_, L_, END = 3, 5, 6, 7, 8, 9, 10, 11
 # States: at a text's start; in letters, numbers, others; after a run of white space (one or more signs, the last a
 # blank or not); after a quote that begins a pre-token, and it with r, v or l; after a whole contraction.
 START, LET, NUM, OTH, B1, S1, B2, S2, Q, QR, QV, QL, DONE = range(13)
@@ -66,17 +68,10 @@ def machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def classes() -> np.ndarray:
+def classes() -> Signs:
     """Class of each code point."""
-    at = np.full(0x110000, OTHER, np.uint8)
-    signs = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, c in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\p{White_Space}", SPACE)):
-        for m in regex.finditer(pattern + "+", signs):
-            at[ord(m[0][0]) : ord(m[0][-1]) + 1] = c
-    for letters, c in ((" ", BLANK), ("'", QUOTE), ("stmd", STMD), ("r", R_), ("v", V_), ("e", E_), ("l", L_)):
-        for x in letters:
-            at[ord(x)] = c
-    return at
+    own = {" ": BLANK, "'": QUOTE, "r": R_, "v": V_, "e": E_, "l": L_}
+    return Signs(own | dict.fromkeys("stmd", STMD))
 
 
 def borders(kinds: np.ndarray, chunk: int = 256) -> np.ndarray:
@@ -108,13 +103,15 @@ def borders(kinds: np.ndarray, chunk: int = 256) -> np.ndarray:
 
 
 class Transducer:
-    """Counts tokens of a pre-token, byte by byte.
+    """Counts tokens byte by byte.
 
     A state holds, for each place whose suffix may still grow into a token, the trie node reached from it, the
     token that ends there and the token count there relative to now; equal states merge whatever text led there.
+    State 0 is the start.
     """
 
-    LIMIT = 60_000
+    LIMIT = 200_000  # states kept from batch to batch
+    CHUNK, LONG = 256, 512
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
@@ -134,12 +131,49 @@ class Transducer:
             ends[node] = i
         # byte -> (node reached, token that ends there or -1, whether it grows further), by node
         self.trie = [{b: (to, ends[to], bool(trie[to])) for b, to in node.items()} for node in trie]
-        self.memo = Memo(self.count, 600_000)
         self.reset()
 
     def reset(self) -> None:
         first = ((0, -1, 0),)
-        self.key, self.state, self.go = [first], {first: 0}, [{}]
+        self.key, self.state = [first], {first: 0}
+        self.used, self.bits = 0, 16
+        self.table()
+
+    def table(self) -> None:
+        """An empty table of transitions: place of 256 x state + byte by hashing, state reached, tokens added."""
+        size = 1 << self.bits
+        self.step, self.to, self.plus = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int8)
+
+    def places(self, step: np.ndarray) -> np.ndarray:
+        """Where each transition stands in the table, or the free place it would take."""
+        mask = (1 << self.bits) - 1
+        at = (step * 0x9E3779B1 >> 7) & mask
+        held = self.step[at]
+        off = np.flatnonzero((held != step) & (held >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & mask
+            held = self.step[at[off]]
+            off = off[(held != step[off]) & (held >= 0)]
+        return at
+
+    def enter(self, step: int, to: int, plus: int) -> None:
+        if self.used * 2 >= len(self.step):
+            steps, tos, adds = (x[self.step >= 0] for x in (self.step, self.to, self.plus))
+            self.bits += 2
+            self.table()
+            while len(steps):  # those that want one free place take turns
+                at = self.places(steps)
+                first = np.unique(at, return_index=True)[1]
+                self.step[at[first]], self.to[at[first]], self.plus[at[first]] = steps[first], tos[first], adds[first]
+                steps, tos, adds = (np.delete(x, first) for x in (steps, tos, adds))
+        mask = len(self.step) - 1
+        at = (step * 0x9E3779B1 >> 7) & mask
+        held = self.step.item(at)
+        while held >= 0 and held != step:
+            at = (at + 1) & mask
+            held = self.step.item(at)
+        self.used += held < 0
+        self.step[at], self.to[at], self.plus[at] = step, to, plus
 
     def move(self, key: tuple, b: int) -> tuple[tuple, int]:
         """The state after one more byte, and the tokens it adds."""
@@ -162,35 +196,51 @@ class Transducer:
         return tuple(live), plus
 
     def compile(self, s: int, b: int) -> tuple[int, int]:
+        """Enter the transition from state s by byte b; the state it leads to and the tokens it adds."""
         key, plus = self.move(self.key[s], b)
         to = self.state.get(key)
         if to is None:
             to = self.state[key] = len(self.key)
             self.key.append(key)
-            self.go.append({})
-        self.go[s][b] = to, plus
+        self.enter(s * 256 + b, to, plus)
         return to, plus
 
-    def count(self, word: str) -> int:
-        """Tokens of one pre-token. The first transition not met before is compiled; the rest of the word is
-        followed without keeping its states, so only ways that recur are kept."""
-        s = n = 0
-        if len(self.go) > self.LIMIT:
+    def counts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The tokens that each byte adds; at places where a pre-token begins the machine starts anew."""
+        if len(self.key) > self.LIMIT:
             self.reset()
-        go, data = self.go, word.encode()
-        for i, b in enumerate(data):
-            hit = go[s].get(b)
-            if hit is None:
-                s, plus = self.compile(s, b)
-                n += plus
-                key = self.key[s]
-                for c in data[i + 1 :]:
-                    key, plus = self.move(key, c)
-                    n += plus
-                return n
-            s, plus = hit
-            n += plus
-        return n
+        n = len(data)
+        out = np.zeros(n, np.int8)
+        marks = np.append(np.flatnonzero(begins), n)
+        long = np.diff(marks) > self.LONG
+        for a, b in zip(marks[:-1][long].tolist(), marks[1:][long].tolist(), strict=True):
+            key = self.key[0]
+            for i, x in enumerate(data[a:b].tolist(), a):  # without keeping its states
+                key, out[i] = self.move(key, x)
+        skip = marks[:-1][long]
+        starts = marks[np.searchsorted(marks, np.arange(0, n, self.CHUNK))]
+        starts = np.unique(np.concatenate([[0], starts, skip, marks[1:][long]]))
+        starts = starts[starts < n]
+        width = np.diff(np.append(starts, n))
+        order = np.argsort(-width, kind="stable")  # the longest first
+        order = order[~np.isin(starts[order], skip)]
+        starts, width = starts[order], width[order]
+        state = np.zeros(len(starts), np.int64)
+        running = len(starts)
+        for i in range(int(width[0]) if running else 0):
+            while width[running - 1] <= i:
+                running -= 1
+            at = starts[:running] + i
+            step = np.where(begins[at], 0, state[:running] << 8) + data[at]
+            place = self.places(step)
+            new = self.step[place] < 0
+            if new.any():
+                for x in dict.fromkeys(step[new].tolist()):
+                    self.compile(x >> 8, x & 255)
+                place = self.places(step)
+            out[at] = self.plus[place]
+            state[:running] = self.to[place]
+        return out
 
 
 class Counter:
@@ -222,19 +272,21 @@ class Counter:
     def _batch(self, parts: list[str], owner: list[int], total: list[int]) -> None:
         joined = "\0".join(parts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = classes()[points]
+        kinds = classes().of(points)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         kinds[ends] = END
-        begins = borders(kinds)
-        at = np.flatnonzero(begins | (kinds == END))
-        first = np.searchsorted(at, ends).tolist()
-        at = at.tolist()
-        self.bytes.memo.trim()
-        have, low = self.bytes.memo.__getitem__, 0
-        for k, stop in zip(owner, first, strict=True):
-            marks = at[low : stop + 1]
-            total[k] += sum(map(have, [joined[a:b] for a, b in zip(marks, marks[1:])]))
-            low = stop + 1
+        first = borders(kinds)
+        first[ends] = True
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        place = np.cumsum(width) - width  # of each sign among the bytes
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        begins = np.zeros(len(data), bool)
+        begins[place[first]] = True
+        sums = np.cumsum(self.bytes.counts(data, begins), dtype=np.int64)
+        at = place[ends]  # the mark after each part, which counts for none
+        upto, mark = sums[at - 1], np.concatenate([[0], sums[at[:-1]]])
+        for k, c in zip(owner, (upto - mark).tolist(), strict=True):
+            total[k] += c
 
 
 @lru_cache(maxsize=2)

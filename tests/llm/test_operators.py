@@ -286,13 +286,40 @@ def test_op4_library(spark, docs, tricky, odd):
     assert tokencount.op4_token_counts(spark, SF).count() == len(docs)
 
 
+def test_op4_chunks_and_bounded_states(docs, monkeypatch):
+    texts = [t or "" for t in docs.values()] + ["x" * 5000 + " y", "é" * 3000]
+    want = tokencount.Counter(bpe.default_path("byte_bpe_50k.json")).counts(texts)
+    for chunk, long, limit in ((1, 512, 200_000), (64, 8, 200_000), (256, 512, 50)):
+        for k, v in (("CHUNK", chunk), ("LONG", long), ("LIMIT", limit)):
+            monkeypatch.setattr(tokencount.Transducer, k, v)
+        c = tokencount.Counter(bpe.default_path("byte_bpe_50k.json"))
+        assert c.counts(texts[:500]) + c.counts(texts[500:]) == want
+
+
 def test_op4_scan_is_chunk_free(tricky):
     text = "\n".join(tricky)
-    kinds = np.append(tokencount.classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], tokencount.END)
+    kinds = np.append(tokencount.classes().of(np.frombuffer(text.encode("utf-32-le"), np.uint32)), tokencount.END)
     want = tokencount.borders(kinds, chunk=len(kinds))
     assert all((tokencount.borders(kinds, chunk=c) == want).all() for c in (1, 7, 256))
 
 
+def every_sign():
+    """Texts that hold each code point below U+30000 in letters, numbers, signs and after a quote."""
+    points = [*range(1, 0xD800), *range(0xE000, 0x30000)]
+    return ["\n".join(f"a{chr(i)}1 {chr(i)}{chr(i)}'s!{chr(i)}" for i in points[k : k + 64]) for k in range(0, len(points), 64)]
+
+
+def test_op4_op8_every_sign():
+    from tokenizers import Tokenizer
+
+    texts = every_sign()
+    want = [len(e.ids) for e in Tokenizer.from_file(bpe.default_path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.Counter(bpe.default_path("byte_bpe_50k.json")).counts(texts) == want
+    codec = bpe.WordCodec(bpe.default_path("word_bpe_49k.json"))
+    for t, e in zip(texts, Tokenizer.from_file(bpe.default_path("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codec.encode(t).tolist() == e.ids
+
+
 def test_op8_library(spark, docs, tricky, odd):
     from tokenizers import Tokenizer
 
@@ -302,7 +329,10 @@ def test_op8_library(spark, docs, tricky, odd):
         mine, text = codec.encode_text(t)
         assert mine.tolist() == ids and text == " ".join(map(str, ids))
         assert codec.decode(mine).decode() == lib.decode(ids, skip_special_tokens=False)
-    assert bpe.digests(odd).count() == len(ODD) and bpe.digests(odd.limit(0)).count() == 0
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(i, (ids := lib.encode(t or "", add_special_tokens=False).ids), lib.decode(ids, skip_special_tokens=False)) for i, t in ODD]
+    assert Counter(map(tuple, bpe.digests(odd).collect())) == Counter((i, len(ids), sha(" ".join(map(str, ids))), sha(text)) for i, ids, text in want)
+    assert bpe.digests(odd.limit(0)).count() == 0
 
 
 def test_op5_laws(spark, docs, odd):
