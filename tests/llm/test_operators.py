@@ -121,8 +121,18 @@ def test_op2_rules(spark, odd):
     rows = [(1, mit), (2, "x.\nReleased under the MIT License\nmore. Licensed under the Apache License, Version 2.0."), (3, "the apache way"), (4, None)]
     got = {r["doc_id"]: r["licenses"] for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "Apache-2.0,MIT", 3: "", 4: ""}
-    assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES.values() if s)
-    assert licenses.licenses(odd).count() == len(ODD)
+    assert all(re.search(licenses.HINT, licenses.SENTENCES[seq[0]]) for _, seq in licenses.RULES) and all(licenses.SENTENCES.values())
+    assert Counter(map(tuple, licenses.licenses(odd).collect())) == Counter((i, "", "") for i, _ in ODD)
+    assert licenses.licenses(odd.limit(0)).count() == 0
+
+
+def test_op2_against_whole_phrases(spark, docs):
+    """A plain search for the words of each rule in the words of the whole text, without cutting sentences."""
+    got = {r["doc_id"]: set(filter(None, r["licenses"].split(","))) for r in licenses.op2_licenses(spark, SF).collect()}
+    phrases = [(name, f" {' '.join(licenses.SENTENCES[i] for i in seq)} ") for name, seq in licenses.RULES]
+    for i, t in docs.items():
+        words = f" {' '.join(re.findall('[a-z0-9]+', (t or '').lower()))} "
+        assert got[i] == {name for name, p in phrases if p in words}, i
 
 
 def test_op2_licence_lines(spark, docs):
@@ -179,6 +189,55 @@ MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla
  * License, v. 2.0. If a copy of the MPL was not distributed with this
  * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
 """
+BSD_FILE = """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+APACHE_HEADER = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+"""
+TITLE = """                    GNU {}GENERAL PUBLIC LICENSE
+                       Version {}
+
+ Copyright (C) Free Software Foundation, Inc.
+"""
+ISC_FILE = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+ZLIB_FILE = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
 
 
 def test_op2_unaltered_texts(spark):
@@ -186,6 +245,9 @@ def test_op2_unaltered_texts(spark):
         MIT_FILE: "MIT", GPL_HEADER.format(":", "", ",", "3"): "GPL-3.0-or-later", GPL_HEADER.format(";", "", ";", "2"): "GPL-2.0-or-later", MPL_HEADER: "MPL-2.0",
         GPL_HEADER.format(":", "Affero ", ",", "3"): "AGPL-3.0-or-later", GPL_HEADER.format(";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later",
     }
+    texts |= {BSD_FILE.format(holder): "BSD-3-Clause" for holder in ("the copyright holder", "the University of Somewhere")} | {BSD_FILE.partition("3. ")[0] + "\nTHIS SOFTWARE": "BSD-2-Clause"}
+    texts |= {APACHE_HEADER: "Apache-2.0", "# SPDX-License-Identifier: LGPL-2.1-or-later\nimport x\n": "LGPL-2.1-or-later", "/* SPDX-License-Identifier: MIT */\nint x;": "MIT"}
+    texts |= {TITLE.format("", "3, 29 June 2007"): "GPL-3.0", TITLE.format("LESSER ", "2.1, February 1999"): "LGPL-2.1", ISC_FILE: "ISC", ZLIB_FILE: "Zlib"}
     texts |= {"".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()): name for t, name in texts.items()}
     rows = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in rows] == list(texts.values())
