@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from designmat.llm.common import table
+from designmat.llm.common import free, named, table
 
 # The base patterns, with their shortest length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -167,22 +167,27 @@ def thresholds(texts: DataFrame, rate: float = 0.05) -> dict[str, float]:
     return {r["stratum"]: 10.0 ** (-r["level"] / GRID) for r in kept.collect()}
 
 
-def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """All columns of docs and ``base`` and ``found``: sorted arrays of (start, kind, end), kind an index of KINDS.
-
-    Null texts count as empty and have no spans. Added spans are those that overlap no base span. Rows are only
-    mapped; repeated rows, null ids and extra columns pass through (columns named base and found are replaced).
-    """
+def _scanned(docs: DataFrame, base: str, found: str, rate: float) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     limit = thresholds(docs.select(t.alias("t")), rate)
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     access = F.when(F.contains(t, F.lit("AKIA")), bare(_spans(t, ACCESS, "access"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    base = F.array_sort(F.concat(bare(_spans(t, ASSIGN, "assign", 6)), access, bare(_spans(t, HEX, "hex"))))
+    firm = F.array_sort(F.concat(bare(_spans(t, ASSIGN, "assign", 6)), access, bare(_spans(t, HEX, "hex"))))
     bound = F.create_map(*[F.lit(x) for kv in limit.items() for x in kv]) if limit else None
     ok = lambda s: s["test"]["p"] > (F.coalesce(F.try_element_at(bound, s["test"]["stratum"]), F.lit(-1.0)) if limit else -1.0)
     more = F.filter(_tested(t), ok)
-    more = F.when(t.rlike(OPAQUE), _apart(F.col("base"), bare(more))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return docs.withColumn("base", base).withColumn("found", F.array_sort(F.concat("base", more)))
+    more = F.when(t.rlike(OPAQUE), _apart(F.col(base), bare(more))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return docs.withColumn(base, firm).withColumn(found, F.array_sort(F.concat(base, more)))
+
+
+def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
+    """All columns of docs and ``base`` and ``found``: sorted arrays of (start, kind, end), kind an index of KINDS.
+
+    Null texts count as empty and have no spans. Added spans are those that overlap no base span. Rows are only
+    mapped; repeated rows, null ids and extra columns pass through. Where docs have columns named base or found
+    the new ones have an underscore before their names (as many as it takes).
+    """
+    return _scanned(docs, *free(docs.columns, "base", "found"), rate)
 
 
 def said(spans: str) -> Column:
@@ -196,13 +201,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The same columns with every span replaced by a mark; n_chars, where there is one, follows the new text."""
-    done = scan(docs)
+    """The same columns with every span replaced by a mark; n_chars, where there is one, follows the new text.
+
+    Null and empty texts stay as they are; every row stays, repeated ones too; columns may have any names.
+    """
+    base, found = free(docs.columns, "base", "found")
+    done = _scanned(docs, base, found, 0.05)
     t = F.coalesce("text", F.lit(""))
 
     gap = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-    gaps = _scan(F.col("found"), F.lit(0), "struct<lo:int,hi:int>", lambda at, x: (F.greatest(at, x["end"]), gap(at, x["start"])))
-    last = gap(F.array_max(F.transform("found", lambda x: x["end"])), F.length(t))
+    gaps = _scan(F.col(found), F.lit(0), "struct<lo:int,hi:int>", lambda at, x: (F.greatest(at, x["end"]), gap(at, x["start"])))
+    last = gap(F.array_max(F.transform(found, lambda x: x["end"])), F.length(t))
     kept = F.array_append(F.filter(gaps, lambda g: g["lo"] <= g["hi"]), last)  # overlapping spans are one
 
     def written(all_: Column) -> Column:
@@ -216,11 +225,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return F.array_join(F.transform(_blocks(all_), block), mark)
 
-    text = F.when(F.size("found") > 0, _let(kept, written)).otherwise(F.col("text"))
-    out = done.withColumn("text", text).drop("base", "found")
+    text = F.when(F.size(found) > 0, _let(kept, written)).otherwise(F.col("text"))
+    out = done.withColumn("text", text).drop(base, found)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*[named(c) for c in docs.columns])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
