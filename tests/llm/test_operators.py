@@ -477,9 +477,25 @@ def test_op9_sql_and_lookup(spark, tmp_path):
     assert got == Counter([(1, "response", None, long), (2, "revisit", 1, ""), (2, "revisit", 1, ""), (None, "revisit", 1, ""), (3, "response", None, "short"), (4, "response", None, "short"), (5, "response", None, ""), (6, "response", None, "")])
     assert sorted(x["warc-record-id"] for x in warc.lookup(d, path, "http://A.b.org/x")) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:None>"]
     assert warc.lookup(d, path, "http://none.org/") == []
+    keys = spark.createDataFrame([("http://a.b.org/x",), ("http://none.org/",), (None,)], "url string").select(warc.url_key(F.col("url")).alias("key"))
+    assert Counter(r["page_id"] for r in warc.read(d, path, keys).collect()) == Counter([1, 2, 2, None, 6])  # no url is an empty one
     assert warc.read(warc.write(pages.limit(0), path), path).count() == 0
 
 
+def test_op9_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rows = [(i, f"http://h{i % 7}.org/{i // 9}" if i % 3 else "http://common.org/", f"{i % 50}" * 60) for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    d = warc.write(pages, path)
+    got = warc.read(d, path, pages.select(warc.url_key(F.col("url")).alias("key")))
+    assert sorted(r["page_id"] for r in got.collect()) == list(range(2000))
+    some = {u for i, u, _ in rows if i % 5 == 1}
+    keys = spark.createDataFrame([(u,) for u in some], "url string").select(warc.url_key(F.col("url")).alias("key"))
+    assert sorted(r["page_id"] for r in warc.read(d, path, keys).collect()) == [i for i, u, _ in rows if u in some]
+    assert warc.search(d, keys, most=5).count() > 0
+
+
 def slow_align(a, b):
     best, above = 0, [0] * (len(b) + 1)
     for x in a:
