@@ -3,20 +3,24 @@
 Equal fingerprints are first collapsed to one row. Two fingerprints within ``radius`` bits agree wholly on at
 least one of radius + 1 bit segments, so only rows that share a segment value meet; within a segment value the
 rows are sorted by population count, cut into tiles, and tile pairs whose population counts differ by more than
-the radius are skipped. Nothing is capped: a crowded value only makes more tiles, which are dealt out as pairs.
+the radius are skipped. Nothing is capped: a crowded value only makes more tiles (see ``united``).
+
+Near copies of a given similarity meet by bands of a MinHash sketch of their five-word shingles instead, and are
+then compared in the same tiles at a wide radius, with their sketches and, where these leave doubt, with their whole
+shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from designmat.llm.common import components, cut, forest, runs, table, together
+from designmat.llm.common import components, cut, forest, free, named, runs, table, together
 
 TILE = 16384
 
@@ -51,78 +55,107 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def _links(x: pd.DataFrame, y: pd.DataFrame, radius: int) -> pd.DataFrame:
-    fx, fy = x["fp"].to_numpy().view(np.uint64), y["fp"].to_numpy().view(np.uint64)
-    ox, oy = x["own"].to_numpy(bool), y["own"].to_numpy(bool)
-    a, b = [], []
-    for i in range(0, len(fx), 256):
-        hit = np.bitwise_count(fx[i : i + 256, None] ^ fy[None, :]) <= radius
-        hit &= ox[i : i + 256, None] | oy[None, :]
-        p, q = np.nonzero(hit)
-        a.append(x["id"].to_numpy()[i + p])
-        b.append(y["id"].to_numpy()[q])
-    a, b = np.concatenate(a), np.concatenate(b)
-    a, b = forest(a[a != b], b[a != b])
+def compared(x: pd.DataFrame, y: pd.DataFrame | None, radius: int, ratio: float = 0.0, tile: int = 512) -> pd.DataFrame:
+    """Spanning stars of the links among the rows of x (y None) or between x and y: fingerprints within the radius,
+    sizes (column n, if there is a ratio) of at least the ratio. Tiles are sorted by bit count; pairs of tiles too
+    far apart in it are skipped."""
+    cut_up = lambda g: [g.iloc[i : i + tile] for i in range(0, len(g), tile)]
+    left = cut_up(x.sort_values("pop", kind="stable"))
+    right = left if y is None else cut_up(y.sort_values("pop", kind="stable"))
+    out = []
+    for i, p in enumerate(left):
+        for q in right[i:] if y is None else right:
+            if q["pop"].iloc[0] - p["pop"].iloc[-1] <= radius and p["pop"].iloc[0] - q["pop"].iloc[-1] <= radius:
+                hit = np.bitwise_count(p["fp"].to_numpy().view(np.uint64)[:, None] ^ q["fp"].to_numpy().view(np.uint64)) <= radius
+                if ratio:
+                    m, n = p["n"].to_numpy()[:, None], q["n"].to_numpy()
+                    hit &= np.minimum(m, n) >= ratio * np.maximum(m, n)
+                a, b = np.nonzero(hit)
+                a, b = p["id"].to_numpy()[a], q["id"].to_numpy()[b]
+                out.append(forest(a[a != b], b[a != b]))
+    a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
+    a, b = forest(a, b)
     return pd.DataFrame({"a": a, "b": b})
 
 
-def link_components(fps: DataFrame, radius: int = 2, sized: bool = False) -> DataFrame:
-    """(fp, cls, component_id): component_id is the smallest doc_id whose fingerprint is reachable by links.
+def united(rows: DataFrame, key: str, compare: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], tile: int) -> DataFrame:
+    """Links (a, b) that join all rows (column id, unique in a group) of a group of ``key`` that compare links, directly
+    or by way of others; exact.
 
-    With ``sized`` only rows whose size classes (column cls) are equal or neighbours are compared."""
-    reps = cut((fps if sized else fps.withColumn("cls", F.lit(0))).groupBy("fp", "cls").agg(F.min("doc_id").alias("id")).where("id is not null"))
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    segs = F.array(*[
-        F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("val"))
-        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
-    ])
-    # Each row meets its own class and, as a guest, the next one's rows; two guests don't compare there.
-    blocks = F.array(*[F.struct((F.col("cls") + k).alias("block"), F.lit(k == 0).alias("own")) for k in range(1 + sized)])
-    rows = reps.select("id", "fp", F.expr("bit_count(fp)").cast("int").alias("pop"), F.explode(blocks).alias("b")).select("id", "fp", "pop", "b.*")
-    rows = rows.select("id", "fp", "pop", "block", "own", F.explode(segs).alias("s")).select("id", "fp", "pop", "own", "s.seg", F.struct("block", "s.val").alias("at"))
-    rows = rows.select("id", "fp", "pop", "own", "seg", F.xxhash64("at").alias("val"))  # values that share a hash only compare more
-    sizes = rows.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["seg", "val"])
-    plain = rows.where(F.col("n") <= TILE)
-
-    def links(keys: list[str]):
+    A group of more than ``tile`` rows is dealt to tiles by hashing, and its first and last row goes to every tile:
+    copies of one text are mostly joined then. Rows that are still apart from most of their group are compared
+    with all of it, tile against tile, so a group costs little more than its size unless its rows are not alike.
+    """
+    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("of"), F.min("id").alias("first"), F.max("id").alias("last")).where("of > 1"))
+    total, most = sizes.agg(F.sum("of"), F.max("of")).first()
+    bound = max(tile, (total or 0) // 100_000)
+    hot = F.broadcast(sizes.where(F.col("of") > bound))  # 100,000 groups at most
+    fields = rows.columns
+    met = rows.join(sizes.where(F.col("of") <= bound), key)
+    if (most or 0) > bound:
+        met = rows.join(hot.select(key), key, "left_anti").join(sizes.where(F.col("of") <= bound), key).unionByName(rows.join(hot, key))
+
+    def whole(keys: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g in runs(batches, keys):
-                yield tiled(g, radius)
+                yield compare(g, None)
 
         return run
 
-    small = together(plain, "seg", "val").mapInPandas(links(["seg", "val"]), "a long, b long")
-    # Crowded segment values: rows are dealt to tiles, each pair of tiles to one task.
-    big = rows.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    big = big.withColumn("t", F.expr("cast(pmod(xxhash64(fp), tiles) as int)"))
-    big = big.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("ti", F.least("t", "o")).withColumn("tj", F.greatest("t", "o"))
-    pair = ["seg", "val", "ti", "tj"]
-    large = together(big, *pair).mapInPandas(links(pair), "a long, b long")
-    comp = components(small.unionByName(large))
-    return reps.join(comp, reps["id"] == comp["node"], "left").select("fp", "cls", F.coalesce("component", "id").alias("component_id"))
-
-
-def tiled(g: pd.DataFrame, radius: int, tile: int = 512) -> pd.DataFrame:
-    """Links of one segment value: popcount-sorted tiles, skipping pairs of tiles too far apart in population count."""
-    g = g.sort_values("pop", kind="stable")
-    parts = [g.iloc[i : i + tile] for i in range(0, len(g), tile)]
-    out = [
-        _links(x, y, radius)
-        for i, x in enumerate(parts)
-        for j, y in enumerate(parts[i:], i)
-        if y["pop"].iloc[0] - x["pop"].iloc[-1] <= radius
-    ]
-    out = pd.concat(out)
-    a, b = forest(out["a"].to_numpy(np.int64), out["b"].to_numpy(np.int64))
-    return pd.DataFrame({"a": a, "b": b})
+    few = together(met.where(F.col("of") <= tile).select(*fields), key).mapInPandas(whole([key]), "a long, b long")
+    if (most or 0) <= tile:
+        return few
+    many = met.where(F.col("of") > tile).withColumn("tiles", F.ceil(F.col("of") / tile).cast("int"))
+    everywhere = (F.col("id") == F.col("first")) | (F.col("id") == F.col("last"))
+    spread = F.when(everywhere, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.expr("cast(pmod(xxhash64(id), tiles) as int)")))
+    dealt = together(many.withColumn("t", F.explode(spread)).select(*fields, "t"), key, "t")
+    done = cut(few.unionByName(dealt.mapInPandas(whole([key, "t"]), "a long, b long")))
+
+    joined = components(done).select(F.col("node").alias("_node"), F.col("component").alias("_root"))
+    label = many.join(joined, F.col("id") == F.col("_node"), "left").select(*fields, F.coalesce("_root", "id").alias("label"))
+    per = label.groupBy(key, "label").agg(F.count("*").alias("k")).groupBy(key)
+    top = per.agg(F.max_by("label", "k").alias("top"), F.ceil(F.max("k") / tile).cast("int").alias("inner"), F.ceil((F.sum("k") - F.max("k")) / tile).cast("int").alias("outer"))
+    apart = label.join(F.broadcast(top.where("outer > 0")) if (total or 0) // tile <= 100_000 else top.where("outer > 0"), key)
+    apart = apart.withColumn("out", F.col("label") != F.col("top")).withColumn("t", F.expr("cast(pmod(xxhash64(id), if(out, outer, inner)) as int)"))
+    pair = lambda i, j, two, left: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(two).alias("two"), left.alias("left"))
+    mine, other = F.col("t"), F.sequence(F.lit(0), F.col("outer") - 1)
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda j: pair(mine, j, True, F.lit(True))),
+        F.transform(other, lambda o: pair(F.least(mine, o), F.greatest(mine, o), False, mine <= o)),
+    )
+    inside = F.transform(other, lambda i: pair(i, mine, True, F.lit(False)))
+    apart = apart.withColumn("at", F.explode(F.when(F.col("out"), outside).otherwise(inside)))
+    pairs = [key, "two", "i", "j"]
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, pairs):
+            left = g["left"].to_numpy(bool)
+            if not g["two"].iloc[0] and g["i"].iloc[0] == g["j"].iloc[0]:
+                yield compare(g, None)
+            elif left.any() and not left.all():
+                yield compare(g[left], g[~left])
+
+    return done.unionByName(together(apart.select(*fields, "at.*"), *pairs).mapInPandas(across, "a long, b long"))
+
+
+def link_components(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, component_id): component_id is the smallest doc_id whose fingerprint is reachable by links."""
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    n = radius + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    segs = F.array(*[  # values that share a hash only compare more
+        F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
+    ])
+    rows = reps.select("id", "fp", F.expr("bit_count(fp)").cast("int").alias("pop"), F.explode(segs).alias("val"))
+    comp = components(united(rows, "val", lambda x, y: compared(x, y, radius), TILE))
+    return reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words_each: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id; one row per input row, null doc_ids keep a null component."""
     fps = cut(fingerprints(docs, words_each))
-    comp = link_components(fps, radius).drop("cls")
+    comp = link_components(fps, radius)
     return fps.join(comp, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
@@ -132,123 +165,148 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_each: int = 3) -> Da
 BINS, NONE = 256, 0xFFFF
 
 
-def sketch(text: str | None, words_each: int = 5, seed: int = 43) -> tuple[bytes, int]:
-    """One-permutation MinHash of the set of word shingles, the least hash of each of 256 bins in two bytes, and the
-    size of the set."""
+def shingle_hashes(text: str | None, words_each: int = 5, seed: int = 43) -> np.ndarray:
+    """Sorted hashes of the set of word shingles; a shorter text is one shingle, a wordless one has none."""
     w = (text or "").encode().lower().split()
-    parts = {b" ".join(x) for x in zip(*(w[i:] for i in range(words_each)), strict=False)} if len(w) >= words_each else {b" ".join(w)} if w else set()
-    out = np.full(BINS, NONE, np.uint16)
-    if parts:
-        h = np.sort(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts)))
-        bins, first = np.unique(h >> np.uint64(56), return_index=True)
-        out[bins.astype(np.int64)] = np.minimum(h[first] & np.uint64(0xFFFF), NONE - 1)
-    return out.tobytes(), len(parts)
+    if not w:
+        return np.empty(0, np.uint64)
+    whole, n = b" ".join(w), max(1, len(w) - words_each + 1)
+    ends = np.cumsum([len(x) + 1 for x in w])
+    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
+    parts = {whole[a:b] for a, b in zip(starts, (ends[min(words_each, len(w)) - 1 :] - 1).tolist(), strict=True)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts)))
 
 
-def shingle_hashes(text: str | None, words_each: int = 5, seed: int = 43) -> np.ndarray:
-    """Sorted four-byte hashes of the set of word shingles; a shorter text is one shingle, a wordless one has none."""
-    w = (text or "").encode().lower().split()
-    parts = {b" ".join(x) for x in zip(*(w[i:] for i in range(words_each)), strict=False)} if len(w) >= words_each else {b" ".join(w)} if w else set()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, seed) >> 32 for p in parts), np.uint32, len(parts)))
-
-
-def _alike(x: pd.DataFrame, y: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
-    """Links of two tiles as spanning stars. Sketches decide where they are three standard errors off the
-    similarity; in between, pairs that aren't joined yet are decided by their whole shingle sets."""
-    fx, fy = x["fp"].to_numpy().view(np.uint64), y["fp"].to_numpy().view(np.uint64)
-    sx, sy = (np.stack([np.frombuffer(v, np.uint16) for v in t["sketch"]]) for t in (x, y))
-    ix, iy = x["id"].to_numpy(), y["id"].to_numpy()
-    full_y, a, b, unsure = sy != NONE, [], [], []
-    for i in range(len(fx)):
-        near = np.flatnonzero((np.bitwise_count(fx[i] ^ fy) <= radius) & (iy != ix[i]))
-        if len(near):
-            used = ((sx[i] != NONE) | full_y[near]).sum(1)
-            share = ((sy[near] == sx[i]) & full_y[near]).sum(1) / np.maximum(used, 1)
-            margin = 3 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
-            sure = (share >= similarity + margin) | (used == 0)
-            a.append(np.full(sure.sum(), ix[i]))
-            b.append(iy[near[sure]])
-            unsure += [(i, j) for j in near[~sure & (share >= similarity - margin)].tolist()]
-    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-    a, b = forest(a, b)
-    top = dict(zip(a.tolist(), b.tolist(), strict=True))
-    more = []
-
-    def find(k: int) -> int:
-        while k in top:
-            k = top[k]
-        return k
-
-    hashes = lambda t, k: np.frombuffer(t["hashes"].iloc[k], np.uint32)
-    for i, j in unsure:
-        p, q = sorted((find(int(ix[i])), find(int(iy[j]))))
-        if p != q:
-            hx, hy = hashes(x, i), hashes(y, j)
-            both = len(np.intersect1d(hx, hy, assume_unique=True))
-            if both >= similarity * (len(hx) + len(hy) - both):
-                top[q] = p
-                more.append((p, q))
-    out = pd.DataFrame({"a": a, "b": b})
-    return pd.concat([out, pd.DataFrame(more, columns=["a", "b"])]).astype(np.int64) if more else out.astype(np.int64)
-
-
-def surplus(docs: DataFrame, radius: int = 11, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
-    """(doc_id) of all documents but the smallest of each group of near copies.
-
-    Groups are joined by links: fingerprints of three-word shingles within ``radius`` and sets of five-word
-    shingles alike to ``similarity``. Fingerprint links of documents of like size first give coarse groups; sketches
-    and, where they leave doubt, whole sets are compared only within these, in tiles. Documents without words are
-    copies of each other; null doc_ids never appear.
+def sketch(h: np.ndarray) -> bytes:
+    """One-permutation MinHash of a set: the least hash of each of 256 bins in two bytes."""
+    out = np.full(BINS, NONE, np.uint16)
+    bins, first = np.unique(h >> np.uint64(56), return_index=True)
+    out[bins.astype(np.int64)] = np.minimum(h[first] & np.uint64(0xFFFF), NONE - 1)
+    return out.tobytes()
+
+
+def majority(h: np.ndarray) -> int:
+    """SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big")
+
+
+def bands(sketches: list[bytes], each: int) -> np.ndarray:
+    """A hash of each ``each`` bins of a sketch in a row; empty bins take the value of the next one that has any."""
+    s = np.stack([np.frombuffer(x, np.uint16) for x in sketches])
+    twice = np.concatenate([s, s], axis=1)
+    at = np.where(twice != NONE, np.arange(2 * BINS), 4 * BINS)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    full = np.take_along_axis(twice, np.minimum(at, 2 * BINS - 1), axis=1)
+    n = BINS // each
+    out = np.tile(np.arange(1, n + 1, dtype=np.uint64), (len(s), 1))
+    for k in range(each):
+        out = (out ^ full[:, k : n * each : each].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def alike(x: pd.DataFrame, y: pd.DataFrame | None, radius: int, similarity: float) -> pd.DataFrame:
+    """Spanning links of the pairs within x (y None) or of x and y whose shingle sets are alike. Sketches decide where
+    they are three standard errors off the similarity; in between the whole sets do. Pairs that are joined already,
+    by way of others, aren't looked at."""
+    g = x if y is None else pd.concat([x, y])
+    fp, sk = g["fp"].to_numpy().view(np.uint64), np.stack([np.frombuffer(v, np.uint16) for v in g["sketch"]])
+    ids, size, full = g["id"].to_numpy(), g["n"].to_numpy(), sk != NONE
+    sets = [np.frombuffer(v, np.uint32) for v in g["hashes"]]
+    label, out = np.arange(len(g)), []
+    begin = 0 if y is None else len(x)
+
+    def join(i: int, j: int) -> None:
+        out.append((ids[i], ids[j]))
+        label[label == label[j]] = label[i]
+
+    for i in range(len(x)):
+        lo = i + 1 if y is None else begin
+        near = lo + np.flatnonzero((label[lo:] != label[i]) & (np.bitwise_count(fp[lo:] ^ fp[i]) <= radius))
+        near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i])]
+        if not len(near):
+            continue
+        used = (full[i] | full[near]).sum(1)
+        share = ((sk[near] == sk[i]) & full[near]).sum(1) / np.maximum(used, 1)
+        margin = 3 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+        sure = (share >= similarity + margin) | (used == 0)
+        for j in near[sure].tolist():
+            if label[j] != label[i]:
+                join(i, j)
+        for j in near[~sure & (share >= similarity - margin)].tolist():
+            if label[j] != label[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    join(i, j)
+    return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+
+DIGEST = "sha2(cast(coalesce(text, '') as binary), 256)"
+
+
+def surplus(docs: DataFrame, radius: int = 22, similarity: float = 0.8, tile: int = 1024, each: int = 8) -> DataFrame:
+    """(doc_id, digest of the text) of all documents but the smallest of each group of near copies.
+
+    Two documents are linked where their sets of five-word shingles are alike to ``similarity``. They meet where a
+    band of ``each`` bins of their MinHash sketches is equal (of pairs alike to just 0.8 some 99.7 % do, of closer
+    ones more), and are compared where the fingerprints of their sets are within ``radius`` bits (at 0.8 the mean is
+    10, and 1 in 100,000 is beyond 22). These links give coarse groups, within which sketches and, where they
+    leave doubt, whole sets decide. Documents without words are copies of each other; rows without a doc_id are left
+    out; rows of one doc_id and different texts are different documents.
     """
-    step = np.log(1 / similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            made = [sketch(t) for t in b["text"]]
-            cls = [int(np.log(n) / step) if n else -1 for _, n in made]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), "cls": cls, "sketch": [v for v, _ in made]})
+            made = [shingle_hashes(t) for t in b["text"]]
+            fp = np.fromiter((majority(h) for h in made), np.uint64, len(made))
+            yield b.drop(columns="text").assign(fp=fp.view(np.int64), n=[len(h) for h in made], sketch=[sketch(h) for h in made])
+
+    docs = docs.where("doc_id is not null").select("doc_id", F.expr(DIGEST).alias("digest"), "text")
+    made = docs.mapInPandas(run, "doc_id long, digest string, fp long, n long, sketch binary")
+    rows = cut(made.withColumn("rid", F.monotonically_increasing_id()))
+    reps = cut(rows.groupBy("fp", "n", "sketch").agg(F.min("rid").alias("id"), F.min_by(F.struct("doc_id", "digest"), "rid").alias("of")))
+
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                keys = bands(b["sketch"].tolist(), each)
+                k = keys.shape[1]
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), k), "fp": np.repeat(b["fp"].to_numpy(), k), "n": np.repeat(b["n"].to_numpy(), k), "band": keys.ravel()})
 
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = cut(docs.mapInPandas(run, "doc_id long, fp long, cls int, sketch binary"))
-    reps = cut(rows.groupBy("fp", "cls", "sketch").agg(F.min("doc_id").alias("id")))
-    coarse = cut(reps.join(link_components(rows.select("doc_id", "fp", "cls"), radius, sized=True), ["fp", "cls"]).select("component_id", "id", "fp", "sketch"))
-    sizes = coarse.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    met = reps.select("id", "fp", "n", "sketch").mapInPandas(banded, "id long, fp long, n long, band long").withColumn("pop", F.expr("bit_count(fp)").cast("int"))
+    coarse = components(united(met, "band", lambda x, y: compared(x, y, radius, similarity), TILE))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.drop(columns="text").assign(hashes=[shingle_hashes(t).tobytes() for t in b["text"]])
-
-    found = coarse.join(sizes, "component_id").join(docs.withColumnRenamed("doc_id", "id"), "id").select("component_id", "tiles", "id", "fp", "sketch", "text")
-    dealt = found.mapInPandas(hashed, "component_id long, tiles int, id long, fp long, sketch binary, hashes binary")
-    dealt = dealt.withColumn("t", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
-    dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("ti", F.least("t", "o")).withColumn("tj", F.greatest("t", "o"))
-    keys = ["component_id", "ti", "tj"]
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(batches, keys):
-            left = (g["t"] == g["ti"]).to_numpy()
-            x = g[left]
-            y = x if g["ti"].iloc[0] == g["tj"].iloc[0] else g[~left]
-            if len(x) and len(y):
-                yield _alike(x, y, radius, similarity)
-
-    edges = together(dealt.select(*keys, "t", "id", "fp", "sketch", "hashes"), *keys).mapInPandas(check, "a long, b long")
-    gone = components(edges).where("node <> component").select(F.col("node").alias("doc_id"))
-    copies = rows.join(reps, ["fp", "cls", "sketch"]).where("doc_id <> id").select("doc_id")
-    return copies.unionByName(gone).distinct()
-
-
-def one_of_each(docs: DataFrame, radius: int = 11, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: one document of each group stays; rows that repeat a doc_id are one document, of
-    which one row stays. Rows without a doc_id stay."""
-    gone = cut(surplus(docs, radius, similarity))
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+            yield b.drop(columns="text").assign(hashes=[np.unique((shingle_hashes(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b["text"]])
+
+    found = coarse.join(reps, coarse["node"] == reps["id"]).select("component", "id", "fp", "n", "sketch", "of.doc_id", "of.digest")
+    found = found.join(docs, ["doc_id", "digest"]).select("component", "id", "fp", "n", "sketch", "text").dropDuplicates(["id"])
+    full = cut(found.mapInPandas(hashed, "component long, id long, fp long, n long, sketch binary, hashes binary"))
+    groups = components(united(full, "component", lambda x, y: alike(x, y, radius, similarity), tile))
+    joined = reps.join(groups, reps["id"] == groups["node"], "left").select("fp", "n", "sketch", F.coalesce("component", "id").alias("group"))
+    member = cut(rows.join(joined, ["fp", "n", "sketch"]).select("group", "doc_id", "digest"))
+    first = member.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("stays"), F.count("*").alias("of")).where("of > 1")
+    return member.join(first, "group").where("doc_id <> stays.doc_id or digest <> stays.digest").select("doc_id", "digest").distinct()
+
+
+def one_of_each(docs: DataFrame, radius: int = 22, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group the document of the smallest doc_id stays (of one doc_id, the text of
+    the smallest digest). Of rows with equal doc_id and text the first in the order of all columns as text stays.
+    Rows without a doc_id stay. Columns may have any names."""
+    mine = free(docs.columns, "digest", "rank")
+    gone = cut(surplus(docs, radius, similarity)).withColumnsRenamed({"doc_id": "gone_id", "digest": "gone_digest"})
+    marked = docs.withColumn(mine[0], F.expr(DIGEST))
+    kept = marked.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col(mine[0]) == F.col("gone_digest")), "left_anti")
+    all_ = [named(c) for c in docs.columns]
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id", F.expr(DIGEST).alias("d")).count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("d").alias("again_digest")))
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+        return kept.select(all_)
+    twice = (F.col("doc_id") == F.col("again_id")) & (F.col(mine[0]) == F.col("again_digest"))
+    order = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(all_)]))
+    ranked = kept.join(again, twice, "left_semi").withColumn(mine[1], F.row_number().over(Window.partitionBy("doc_id", mine[0]).orderBy(order)))
+    return kept.join(again, twice, "left_anti").select(all_).unionByName(ranked.where(F.col(mine[1]) == 1).select(all_))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
