@@ -11,7 +11,9 @@ signs to spare, so that a lone pair right at the threshold is met with the same
 rows. In a crowded direction more signs would be needed: vectors that agree in all counted signs with the one a
 whole window away, in any of a few probing passes, are compared with each other exactly, tile against tile. A pair
 with one end outside the crowd is met from that end. Neighbours on either side of a partition's edge are not
-compared in that pass.
+compared in that pass; where partitions hold few rows the passes are counted for a window of a quarter of them, so
+that few pairs are lost to edges. Copies of one vector are one class throughout; a class with very many copies gets
+its outcome by broadcast, all others by a join.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from designmat.llm.common import components, cut, forest, runs, table, together
 
-TILE = 1024
+TILE = 256
 BLOCK = 256
 PROBES = 4
 
@@ -38,14 +40,21 @@ def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
 
 
 def neighbours(x: np.ndarray, old: int, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j <= i + window, j not before ``old``, of rows whose product is at least the threshold."""
-    a, b = [], []
+    """Positions (i, j), i < j <= i + window, j not before ``old``, of rows whose product is at least the threshold.
+
+    Products in single precision tell most pairs; those within its error of the threshold are told in double."""
+    a, b, rough = [], [], x.astype(np.float32)
+    error = 2e-7 * (x.shape[1] + 4)
     for i in range(0, len(x), BLOCK):
         top = min(i + BLOCK, len(x))
         lo = max(i, old)
-        p, q = np.nonzero(x[i:top] @ x[lo : top + window].T >= threshold)
+        near = rough[i:top] @ rough[lo : top + window].T
+        p, q = np.nonzero(near >= np.float32(threshold - error))
+        sure = near[p, q] >= threshold + error
         p, q = p + i, q + lo
         fine = (p < q) & (q <= p + window)
+        doubt = np.flatnonzero(fine & ~sure)
+        fine[doubt] = np.einsum("ij,ij->i", x[p[doubt]], x[q[doubt]]) >= threshold
         a.append(p[fine])
         b.append(q[fine])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
@@ -74,7 +83,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
     many = classes.count()
     counted = min(64, int(np.ceil(np.log2(many / window))) + 2) if many > window else 0
     if passes is None:
-        passes = passes_for(window << counted, threshold, window, recall)
+        parts, narrow = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), window
+        for _ in range(3):
+            bits = min(64, int(np.ceil(np.log2(many / narrow))) + 2) if many > narrow else 0
+            passes = passes_for(narrow << bits, threshold, narrow, recall)
+            narrow = int(min(window, max(8, passes * many // parts // 4)))
 
     def keyed(batches: Iterator[pd.DataFrame], passes: int = passes) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -157,12 +170,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int | No
 
     links = together(members.select("component", "ti", "tj", "t", "id", "n", "embedding"), "component", "ti", "tj").mapInPandas(count, "id long, links long")
     links = links.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(groups, classes["id"] == groups["node"], "left").join(links, "id", "left").select(
-        F.col("embedding").alias("e"), F.coalesce("component", "id").alias("c"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("l")
-    )
-    return rows.join(known, rows["embedding"] == known["e"], "left").select(
-        "vec_id", F.coalesce("l", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("c", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
+    name = lambda c: [F.xxhash64(F.lit(k), c).alias(f"h{k}") for k in (1, 2)]  # noqa: E731  # 128 bits name a class
+    known = classes.join(groups, classes["id"] == groups["node"], "left").join(links, "id", "left")
+    known = cut(known.select(*name("embedding"), "n", F.coalesce("component", "id").alias("c"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("l")))
+    copies = max(1000, (known.agg(F.sum("n")).first()[0] or 0) // 100_000)  # so 100,000 classes at most have more
+    told = rows.select("vec_id", F.col("embedding").isNotNull().alias("fine"), *name("embedding"))
+    common = F.broadcast(known.where(F.col("n") > copies).drop("n"))
+    told = told.join(common.withColumnsRenamed({"c": "c1", "l": "l1"}), ["h1", "h2"], "left")
+    some, rest = told.where("c1 is not null or not fine").withColumnsRenamed({"c1": "c", "l1": "l"}), told.where("c1 is null and fine").drop("c1", "l1")
+    out = some.unionByName(rest.join(known.where(F.col("n") <= copies).drop("n"), ["h1", "h2"], "left"))
+    c = F.when(F.col("fine"), F.col("c"))
+    return out.select(
+        "vec_id", F.coalesce(F.when(F.col("fine"), F.col("l")), F.lit(0)).alias("n_links"), F.coalesce(c, "vec_id").alias("component_id"),
+        F.coalesce(F.coalesce(c, "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
     )
 
 

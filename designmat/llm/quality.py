@@ -85,25 +85,38 @@ def _sums(rows: DataFrame, w: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _newton(rows: DataFrame, d: int, prior: float | None, steps: int, ridge: float) -> np.ndarray:
-    """Minimise the risk; without a prior, tell positives from unlabelled rows in equal parts."""
-    w, before = np.zeros(d), None
+    """Minimise the risk; without a prior, tell positives from unlabelled rows in equal parts.
+
+    pi E_P[l(z)] + max(0, R) with R the risk of negatives is the greater of two convex functions. Where R stays above
+    zero it is minimised by plain Newton steps. Where it would fall below, the minimum lies on R = 0: the steps are
+    then those of the Lagrange conditions, with a multiplier between 0 and 1 for the weight that the clipped part
+    takes from R, until the multiplier falls to zero again.
+    """
+    w, part = np.zeros(d), 0.0
     for _ in range(steps):
         s = _sums(rows, w)
         n, m = s["pn"][0], s["un"][0]
         if not n or not m:
             return np.zeros(d)
         hp, hu = s["ph"].reshape(d, d) / n, s["uh"].reshape(d, d) / m
+        pull = np.full(d, ridge + 0.3 / n)  # few positives pull more
+        pull[0] = ridge / 100
         if prior is None:
             grad, hess = (s["psx"] - s["px"]) / n + s["usx"] / m, hp + hu
+            step = np.linalg.solve(hess + np.diag(pull), grad + pull * w)
         else:
-            if s["usoft"][0] / m < prior * s["psoft"][0] / n and before is not None:
-                return (w + before) / 2  # the risk of negatives went below zero: step back and stop
-            grad, hess = s["usx"] / m - prior * s["px"] / n, hu
-        pull = np.full(d, ridge + 0.3 / n)  # few positives pull more
-        pull[0] = ridge / 100
-        step = np.linalg.solve(hess + np.diag(pull), grad + pull * w)
+            risk = s["usoft"][0] / m - prior * s["psoft"][0] / n
+            slope = s["usx"] / m - prior * s["psx"] / n
+            grad = s["usx"] / m - prior * s["px"] / n + pull * w
+            hess = hu - part * (hu - prior * hp) + np.diag(pull)
+            if risk < 0 or part:
+                whole = np.block([[hess, -slope[:, None]], [-slope[None, :], np.zeros((1, 1))]])
+                got = np.linalg.solve(whole, np.append(grad, -risk))  # of w and of the multiplier, which enters as it will be
+                step, part = got[:d], float(np.clip(-got[d], 0.0, 1.0))
+            else:
+                step = np.linalg.solve(hess, grad)
         size = np.abs(step).max()
-        before, w = w, w - step * min(1.0, 8.0 / max(size, 1e-12))
+        w = w - step * min(1.0, 8.0 / max(size, 1e-12))
         if size < 1e-3:
             break
     return w
@@ -152,7 +165,9 @@ def score(docs: DataFrame, labels: DataFrame, steps: int = 12, ridge: float = 1e
     """doc_id, held_out, score, predicted; one row per input row.
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1; repeated labels of a document
-    count as positive if all are 1, null labels as none. Without positives every score is 0.5.
+    count as positive if all are 1, null labels as none. Without positives every score is 0.5. Null, empty and blank
+    texts are scored by their features, which are zeros; repeated rows get equal scores; extra columns are ignored.
+    The estimated class prior is kept within 0.05 and 0.99, and is 0.5 where there is nothing to tell it from.
     """
     rows = _rows(docs, labels)
     w = _fit(rows, steps, ridge)
@@ -166,7 +181,11 @@ def score(docs: DataFrame, labels: DataFrame, steps: int = 12, ridge: float = 1e
 
 
 def accepted(docs: DataFrame, labels: DataFrame, steps: int = 12, ridge: float = 1e-4) -> DataFrame:
-    """The rows of docs, all columns, whose own text scores 0.5 or more; no text is shuffled."""
+    """The rows of docs, all columns, whose own text scores 0.5 or more; no text is shuffled.
+
+    Texts that are null, empty or blank are scored like any other; repeated rows and rows without a doc_id too;
+    columns may have any names. Without positive labels every score is 0.5 and every row stays.
+    """
     w = _fit(_rows(docs, labels), steps, ridge)
 
     @F.pandas_udf("boolean")

@@ -434,6 +434,29 @@ def test_op6_held_out(spark, odd):
     assert {r["score"] for r in quality.score(odd, bare.limit(0)).collect()} == {0.5} and quality.score(odd.limit(0), bare).count() == 0
 
 
+@pytest.mark.parametrize("prior,clipped", [(0.9, True), (0.3, False)])
+def test_op6_minimises_the_clipped_risk(spark, prior, clipped):
+    rng = np.random.default_rng(3)
+    pos = rng.random(600) < 0.3
+    x = np.column_stack([np.ones(600), rng.normal(size=600) + 2 * pos, rng.normal(size=600)])
+    free = rng.random(600) < 0.8
+    rows = spark.createDataFrame([(a.tolist(), bool(p), bool(f)) for a, p, f in zip(x, pos, free, strict=True)], "x array<double>, pos boolean, free boolean")
+    w = quality._newton(rows, 3, prior, 40, 1e-3)
+    pull = np.full(3, 1e-3 + 0.3 / pos.sum())
+    pull[0] = 1e-5
+    soft = lambda z: np.logaddexp(0, z)
+
+    def risk(w):
+        z = x @ w
+        return soft(z[free]).mean() - prior * soft(z[pos]).mean()
+
+    def whole(w):
+        return prior * soft(-(x @ w)[pos]).mean() + max(0.0, risk(w)) + (pull * w * w).sum() / 2
+
+    assert (abs(risk(w)) < 1e-3) == clipped
+    assert all(whole(w) <= whole(w + rng.normal(size=3) * e) + 1e-5 for e in (0.01, 0.1, 0.5) for _ in range(50))
+
+
 def slow_fingerprint(text):
     import xxhash
 
