@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {}
 SYNTAX: dict[str, Callable] = {}
+TERM_LEVEL: dict[str, Callable] = {}
 _STRICT = [True]
 
 
@@ -28,11 +29,12 @@ def lenient():
         _STRICT.pop()
 
 
-def formula_function(name: str) -> Callable:
-    """Register a function of columns under a name."""
+def formula_function(name: str, term_level: bool = False) -> Callable:
+    """Register a function of columns under a name; with ``term_level`` one of terms, which gives the term that the
+    call stands for, also within protected and unprotected calls."""
 
-    def add(f: Callable[..., Column]) -> Callable[..., Column]:
-        FUNCTIONS[name] = f
+    def add(f: Callable) -> Callable:
+        (TERM_LEVEL if term_level else FUNCTIONS)[name] = f
         return f
 
     return add

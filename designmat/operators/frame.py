@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from designmat.errors import check_columns
 from designmat.plans.bind import StatisticalModel, apply_schema, is_bound
-from designmat.plans.compile import Rows, assign, both, columns, ref, rows
+from designmat.plans.compile import Rows, assign, both, columns, entries, ref, rows
 from designmat.plans.parser import formula
 from designmat.plans.schema import Schema, check_table, schema
-from designmat.plans.terms import Formula, TermBase, parts, plus
+from designmat.plans.terms import Formula, Sum, TermBase, members, parts, plus
 from designmat.sources import tables
 
 
@@ -56,13 +56,13 @@ def modelmatrix(f: Any, df: DataFrame, hints: dict | None = None, model: type |
     t = f.rhs if isinstance(f, Formula) else f
     if not all(map(is_bound, parts(t))):
         t = apply_schema(t, schema(df, plus(*parts(t)), hints), model)
-    at = rows(order_by, partition_by)
-    return shaped(df, [c for p in parts(t) for c in columns(p, at)], form, keep)
+    return shaped(df, parts(t), rows(order_by, partition_by), form, keep)
 
 
-def shaped(df: DataFrame, cols: list, form: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def shaped(df: DataFrame, terms: tuple, at: Rows, form: str, keep: tuple[str, ...] = ()) -> DataFrame:
     if form == "long":
-        return tables.long(df, cols, keep)
+        return tables.long(df, entries(Sum(tuple(m for p in terms for m in members(p))), at), keep)
+    cols = [c for p in terms for c in columns(p, at)]
     return tables.wide(df, cols, keep) if form == "wide" else tables.vector(df, cols, keep, sparse=form == "sparse")
 
 
@@ -92,7 +92,7 @@ class ModelFrame:
         return self.formula.names()[1]
 
     def modelmatrix(self, df: DataFrame | None = None, form: str = "wide", keep: tuple[str, ...] = ()) -> DataFrame:
-        return shaped(self.data if df is None else df, both(self.formula, self.at)[1], form, keep)
+        return shaped(self.data if df is None else df, parts(self.formula.rhs), self.at, form, keep)
 
     def response(self, df: DataFrame | None = None) -> DataFrame:
         return tables.wide(self.data if df is None else df, both(self.formula, self.at)[0])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from designmat.functions.registry import syntax, syntax_for
+from designmat.functions.registry import TERM_LEVEL, syntax, syntax_for
 from designmat.plans.contrasts import FullDummy, code
 from designmat.plans.parser import SPECIAL, Text
 from designmat.plans.schema import Schema
@@ -60,6 +60,8 @@ def unprotected(t: TermBase) -> TermBase:
         for a in args[1:]:
             out = SPECIAL[t.fn](out, a)
         return out
+    if isinstance(t, Call) and t.fn in TERM_LEVEL:
+        return TERM_LEVEL[t.fn](*map(unprotected, t.args))
     return t
 
 
@@ -132,6 +134,8 @@ def _call(t: Call, schema: Schema, model: type | None) -> TermBase:
         return _within(_only(t), schema, model)
     if t.fn == "unprotect":
         return bind(unprotected(_only(t)))
+    if t.fn in TERM_LEVEL:
+        return bind(TERM_LEVEL[t.fn](*(bind(a) if not isinstance(a, Const | Text) else a for a in t.args)))
     own = syntax_for(t.fn, model)
     if own is not None:
         return own(t, schema, bind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -89,22 +90,75 @@ def _columns(t: TermBase, at: Rows) -> list[Column]:
     return t.columns()
 
 
+def literals(values: Sequence) -> Column:
+    """An array of constants that is one node of the plan where the values are texts or whole numbers."""
+    if values and all(isinstance(v, str) and "\x01" not in v for v in values):
+        return F.split(F.lit("\x01".join(values)), "\x01")
+    if values and all(isinstance(v, int) and not isinstance(v, bool) for v in values):
+        return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
+    return F.array(*map(F.lit, values))
+
+
+def numbers(values: Sequence[float]) -> Column:
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
+
+
+def _unknown(t: Categorical) -> Column:
+    return F.raise_error(F.concat(F.lit(f"level not seen before in {t.name}: "), ref(t.name).cast("string")))
+
+
+#: Levels that a column of a coding names one by one; beyond, its values are looked up by the level's place.
+NAMED = 16
+
+
 def coded(t: Categorical) -> list[Column]:
-    """A column for each contrast. Levels of equal value share a branch; null stays null; other levels are errors."""
+    """A column for each contrast. Null stays null; levels not known are errors.
+
+    A column names the levels that differ from its commonest value, of which a sparse coding has one or two, and
+    shares the test for known levels with the others, so that the plan of such a coding grows with the number of
+    levels only. The columns of other codings look their values up by the place of the level.
+    """
     c, m = ref(t.name), t.contrasts
-    unknown = F.raise_error(F.concat(F.lit(f"level not seen before in {t.name}: "), c.cast("string"))).cast("double")
+    levels = literals(m.levels)
+    known, place, unknown = F.array_contains(levels, c), F.array_position(levels, c), _unknown(t).cast("double")
     out = []
     for j in range(len(m.names)):
-        groups: dict[float, list] = {}
-        for level, v in zip(m.levels, m.matrix[:, j].tolist(), strict=True):
+        values, groups = m.column(j), {}
+        for level, v in zip(m.levels, values, strict=True):
             groups.setdefault(v, []).append(level)
+        rest = max(groups, key=lambda v: len(groups[v]))
+        some = [(level, v) for v, of in groups.items() if v != rest for level in of]
         expr = F.when(c.isNull(), F.lit(None).cast("double"))
-        for v, levels in sorted(groups.items(), key=lambda x: len(x[1])):
-            expr = expr.when(c == levels[0] if len(levels) == 1 else c.isin(levels), F.lit(v))
-        out.append(expr.otherwise(unknown))
+        if len(some) <= NAMED:
+            for level, v in some:
+                expr = expr.when(c == level, F.lit(v))
+            out.append(expr.when(known, F.lit(rest)).otherwise(unknown))
+        else:
+            out.append(expr.when(place > 0, F.element_at(numbers(values), place.cast("int"))).otherwise(unknown))
     return out
 
 
+ENTRY = "array<struct<col:int,name:string,value:double>>"
+
+
+def entries(t: TermBase, at: Rows = Rows(), first: int = 1) -> Column:  # noqa: B008
+    """The matrix row of a term as (col, name, value), zeros mostly left out: of a categorical variable only the
+    entries of its level's row of the coding, whatever the number of levels."""
+    if isinstance(t, Sum):
+        out = []
+        for x in t.terms:
+            out.append(entries(x, at, first))
+            first += x.width()
+        return F.concat(*out) if out else F.array().cast(ENTRY)
+    if not isinstance(t, Categorical):
+        return F.array(*[F.struct(F.lit(i).alias("col"), F.lit(n).alias("name"), c.alias("value")) for i, (n, c) in enumerate(columns(t, at), first)]).cast(ENTRY)
+    c, m, names = ref(t.name), t.contrasts, t.names()
+    body = json.dumps([[{"col": first + j, "name": names[j], "value": v} for j, v in m.entries(i)] for i in range(len(m.levels))])
+    place = F.array_position(literals(m.levels), c)
+    empty = F.array(*[F.struct(F.lit(first + j).alias("col"), F.lit(n).alias("name"), F.lit(None).cast("double").alias("value")) for j, n in enumerate(names)]).cast(ENTRY)
+    return F.when(place > 0, F.element_at(F.from_json(F.lit(body), f"array<{ENTRY}>"), place.cast("int"))).when(c.isNull(), empty).otherwise(_unknown(t).cast(ENTRY))
+
+
 def value(t: TermBase, at: Rows) -> Column:
     """The one value of a row that a function's argument stands for."""
     if isinstance(t, Var):

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
+from types import SimpleNamespace
 from typing import Any
 
 import numpy as np
@@ -19,6 +20,10 @@ def level_text(x: Any) -> str:
     return x.isoformat() if hasattr(x, "isoformat") else str(x)
 
 
+#: Levels beyond which the indicator codings are kept sparse.
+DENSE = 64
+
+
 class Contrast:
     """Base of all codings. Own codings define ``matrix`` and may change ``names``."""
 
@@ -46,7 +51,9 @@ class Contrast:
 class Dummy(Contrast):
     """An indicator of each level but the base."""
 
-    def matrix(self, base: int, k: int) -> np.ndarray:
+    def matrix(self, base: int, k: int) -> Any:
+        if k > DENSE:
+            return SparseMatrix([{} if i == base else {i - (i > base): 1.0} for i in range(k)], k - 1)
         return np.delete(np.eye(k), base, axis=1)
 
 
@@ -55,8 +62,8 @@ class FullDummy(Contrast):
 
     least = 1
 
-    def matrix(self, base: int, k: int) -> np.ndarray:
-        return np.eye(k)
+    def matrix(self, base: int, k: int) -> Any:
+        return SparseMatrix([{i: 1.0} for i in range(k)], k) if k > DENSE else np.eye(k)
 
     def names(self, levels: Sequence, base: int) -> list[str]:
         return [level_text(x) for x in levels]
@@ -65,7 +72,9 @@ class FullDummy(Contrast):
 class Effects(Contrast):
     """Indicators that are -1 at the base, so each column sums to zero."""
 
-    def matrix(self, base: int, k: int) -> np.ndarray:
+    def matrix(self, base: int, k: int) -> Any:
+        if k > DENSE:
+            return SparseMatrix([dict.fromkeys(range(k - 1), -1.0) if i == base else {i - (i > base): 1.0} for i in range(k)], k - 1)
         out = np.delete(np.eye(k), base, axis=1)
         out[base] = -1
         return out
@@ -101,7 +110,7 @@ class Custom(Contrast):
 
     def __init__(self, values: Any, levels: Sequence | None = None, base: Any = None):
         super().__init__(base, levels)
-        self.values = np.asarray(values, float)
+        self.values = values if hasattr(values, "tocoo") else np.asarray(values, float)  # sparse ones stay so
 
     def matrix(self, base: int, k: int) -> np.ndarray:
         if self.values.shape != (k, k - 1):
@@ -109,7 +118,7 @@ class Custom(Contrast):
         return self.values
 
     def _key(self) -> tuple:
-        return (*super()._key(), self.values.tobytes())
+        return (*super()._key(), _dense(self.values).tobytes())
 
 
 class Hypothesis(Custom):
@@ -134,6 +143,35 @@ class Hypothesis(Custom):
         return list(self.labels)
 
 
+def _dense(m: Any) -> np.ndarray:
+    return m.toarray() if hasattr(m, "toarray") else np.asarray(m)
+
+
+class SparseMatrix:
+    """A matrix kept as its non-zero entries by row: what a coding of very many levels can give, without a dense copy."""
+
+    def __init__(self, rows: Sequence[dict[int, float]], width: int):
+        self.rows, self.shape = [dict(r) for r in rows], (len(rows), width)
+
+    def __getitem__(self, at: tuple) -> SparseMatrix:
+        rows, cols = at
+        picked = self.rows if isinstance(rows, slice) else [self.rows[i] for i in rows]
+        if isinstance(cols, slice):
+            return SparseMatrix(picked, self.shape[1])
+        return SparseMatrix([{k: r[j] for k, j in enumerate(cols) if j in r} for r in picked], len(cols))
+
+    def tocoo(self) -> Any:
+        flat = [(i, j, v) for i, r in enumerate(self.rows) for j, v in r.items()]
+        return SimpleNamespace(row=[x[0] for x in flat], col=[x[1] for x in flat], data=[x[2] for x in flat])
+
+    def toarray(self) -> np.ndarray:
+        out = np.zeros(self.shape)
+        for i, r in enumerate(self.rows):
+            for j, v in r.items():
+                out[i, j] = v
+        return out
+
+
 @dataclass(frozen=True, eq=False)
 class ContrastsMatrix:
     """A coding that has met the levels of a variable."""
@@ -144,7 +182,19 @@ class ContrastsMatrix:
     matrix: np.ndarray
 
     def row(self, level: Any) -> np.ndarray:
-        return self.matrix[self.levels.index(level)]
+        return _dense(self.matrix)[self.levels.index(level)]
+
+    def column(self, j: int) -> list[float]:
+        """One column, a number for each level."""
+        return _dense(self.matrix[:, [j]]).ravel().tolist()
+
+    def entries(self, i: int) -> list[tuple[int, float]]:
+        """The entries of a level's row that aren't zero."""
+        row = self.matrix[[i], :]
+        if hasattr(row, "tocoo"):
+            row = row.tocoo()
+            return sorted((int(j), float(v)) for j, v in zip(row.col, row.data, strict=True) if v)
+        return [(j, float(v)) for j, v in enumerate(row.ravel().tolist()) if v]
 
     def check(self, levels: Sequence) -> ContrastsMatrix:
         """Itself, if it knows all of these levels."""
@@ -154,7 +204,7 @@ class ContrastsMatrix:
         return self
 
     def _key(self) -> tuple:
-        return type(self.coding), self.levels, self.names, self.matrix.tobytes()
+        return type(self.coding), self.levels, self.names, _dense(self.matrix).tobytes()
 
     def __eq__(self, other: object) -> bool:
         return isinstance(other, ContrastsMatrix) and self._key() == other._key()
@@ -181,18 +231,19 @@ def code(coding: Contrast, levels: Sequence) -> ContrastsMatrix:
     if coding.base is not None and coding.base not in own:
         raise LevelError(f"base level {coding.base!r} isn't among the levels {own}")
     base = 0 if coding.base is None else own.index(coding.base)
-    return ContrastsMatrix(coding, tuple(own), tuple(coding.names(own, base)), np.asarray(coding.matrix(base, len(own)), float))
+    made = coding.matrix(base, len(own))
+    return ContrastsMatrix(coding, tuple(own), tuple(coding.names(own, base)), made if hasattr(made, "tocoo") else np.asarray(made, float))
 
 
 def needs_intercept(matrix: np.ndarray) -> bool:
     """Whether columns aren't orthogonal to the intercept; sums under 1e-10 are zero."""
-    m = np.asarray(matrix, float)
+    m = _dense(matrix).astype(float)
     return np.linalg.matrix_rank(m) < len(m) and bool((np.abs(m.sum(axis=0)) > 1e-10).any())
 
 
 def hypothesis_matrix(matrix: Any, intercept: bool | None = None, tolerance: float = 1e-5) -> Any:
     """Weights of the level means that each coefficient stands for; integers or fractions unless tolerance is 0."""
-    m = matrix.matrix if isinstance(matrix, ContrastsMatrix) else np.asarray(matrix, float)
+    m = _dense(matrix.matrix if isinstance(matrix, ContrastsMatrix) else matrix).astype(float)
     if needs_intercept(m) if intercept is None else intercept:
         m = np.column_stack([np.ones(len(m)), m])
     h = np.linalg.pinv(m)

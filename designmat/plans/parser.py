@@ -8,7 +8,7 @@ import warnings
 from designmat.errors import FormulaSyntaxError
 from designmat.plans.terms import Call, Const, Formula, Sum, TermBase, Var, cleanup, interact, plus, star
 
-TOKEN = re.compile(r"\s*(?:(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[^\W\d][\w.]*!?|`[^`]+`)|(?P<str>\"[^\"]*\")|(?P<op>==|!=|<=|>=|[-+*/^&|%÷<>!~(),$=:\[\]]))")
+TOKEN = re.compile(r"\s*(?:(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[^\W\d][\w.]*(?:!(?!=))?|`[^`]+`)|(?P<str>\"[^\"]*\")|(?P<op>==|!=|<=|>=|[-+*/^&|%÷<>!~(),$=:\[\]]))")
 #: Binding powers; tilde is lowest, powers are highest.
 POWER = {"~": 1, "==": 2, "!=": 2, "<": 2, "<=": 2, ">": 2, ">=": 2, "+": 3, "-": 3, "|": 3, "*": 4, "&": 4, "/": 4, "%": 4, "÷": 4, "^": 6}
 SPECIAL = {"+": plus, "&": interact, "*": star}
@@ -96,8 +96,9 @@ class _Parser:
                 inner.closed = True
             return inner
         if value == "-" and self.i < len(self.tokens) and self.tokens[self.i][0] == "num":
-            x = self.prefix()
-            return Const(-x.n)
+            if self.tokens[self.i + 1 : self.i + 2] and self.tokens[self.i + 1][1] == "^":  # a power binds first
+                return _Node("-", [self.expression(5)], True)
+            return Const(-self.prefix().n)
         if value in ("+", "-", "!", "&", "*"):
             if value in ("&", "*") and self.peek() != "(":
                 self.fail(f"{value} needs a left side", at)

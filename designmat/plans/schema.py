@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from designmat.errors import EmptyColumnError, LevelError, check_columns
-from designmat.functions.registry import SYNTAX
+from designmat.functions.registry import SYNTAX, TERM_LEVEL
 from designmat.plans.contrasts import Contrast, ContrastsMatrix, Dummy, code
 from designmat.plans.terms import Call, Categorical, Continuous, Formula, Interaction, Shift, Sum, TermBase, Var, parts, unique
 
@@ -47,7 +47,7 @@ def needed(t: Any) -> list[str]:
     if isinstance(t, Shift):
         return needed(t.term)
     if isinstance(t, Call):
-        if t.fn in SYNTAX or t.fn == "unprotect":
+        if t.fn in SYNTAX or t.fn in TERM_LEVEL or t.fn == "unprotect":
             return t.vars()
         return unique(v for a in t.args for v in (needed(a) if isinstance(a, Call) else []))
     return []
@@ -82,6 +82,10 @@ def schema(df: DataFrame, target: Any = None, hints: dict[str, Any] | None = Non
             plans[n] = hint if isinstance(hint, Contrast | ContrastsMatrix) else Dummy()
     if plans:
         out |= _sweep(df, plans, max_levels)
+    elif isinstance(target, TermBase) and target.vars():  # variables within calls aren't swept, but must have rows
+        check_columns(target.vars(), df.columns)
+        if df.isEmpty():
+            raise EmptyColumnError(f"Column '{target.vars()[0]}' is empty.")
     return Schema((n, out[n]) for n in names)
 
 

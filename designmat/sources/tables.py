@@ -45,8 +45,7 @@ def vector(df: DataFrame, cols: list[tuple[str, Column]], keep: Iterable[str] =
     return made.withMetadata(name, attrs)
 
 
-def long(df: DataFrame, cols: list[tuple[str, Column]], keys: Iterable[str]) -> DataFrame:
+def long(df: DataFrame, entry: Column, keys: Iterable[str]) -> DataFrame:
     """keys, col (from 1), name, value of each entry that isn't zero; nulls stay."""
-    entry = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(n).alias("name"), c.alias("value")) for i, (n, c) in enumerate(cols, 1)])
     kept = F.filter(entry, lambda e: e["value"].isNull() | (e["value"] != 0))
     return df.select(*keys, F.explode(kept).alias("e")).select(*keys, "e.*")
