@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from designmat.llm.common import table
-from designmat.llm.signs import Signs
+from designmat.llm.signs import OTHER, PATTERNS, Signs
 
 
 def byte_letters() -> list[str]:
@@ -146,6 +146,7 @@ class Encoder:
 
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+OWN = [(k, regex.compile(p)) for k, p in PATTERNS]
 
 
 class Memo(dict):
@@ -176,6 +177,7 @@ class WordCodec:
         self.enc = Encoder(self.v)
         self.normal = Tokenizer.from_file(path).normalizer
         self.signs = Signs()
+        self.agree: set[str] = set(map(chr, range(128)))  # signs that the pattern's own classes are right for
         self.letters = byte_letters()
         self.ids = Memo(lambda w: array("i", self.word(w)).tobytes())
         self.texts = Memo(lambda w: " ".join(map(str, array("i", self.ids[w]))))
@@ -194,9 +196,19 @@ class WordCodec:
             if part.isascii():
                 out += SPLIT.findall(part.lower())
             else:  # case, composition and classes beyond ASCII are the library's own
-                out += self.signs.split(SPLIT, self.normal.normalize_str(part))
+                part = self.normal.normalize_str(part)
+                out += SPLIT.findall(part) if self.agree.issuperset(part) or self.same(part) else self.signs.split(SPLIT, part)
         return out
 
+    def same(self, part: str) -> bool:
+        """Whether the pattern's own classes of all signs are the library's."""
+        new = sorted(set(part) - self.agree)
+        kinds = self.signs.of(np.array(list(map(ord, new)), np.uint32))
+        for sign, kind in zip(new, kinds.tolist(), strict=True):
+            if kind == next((k for k, p in OWN if p.match(sign)), OTHER):
+                self.agree.add(sign)
+        return self.agree.issuperset(new)
+
     def word(self, w: str) -> list[int]:
         if w[0] == "\0" and w[1:] in self.v.special:
             return [self.v.special[w[1:]]]
