@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
+import math
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -45,7 +48,12 @@ def ref(name: str) -> Column:
 
 def columns(t: TermBase, at: Rows = Rows()) -> list[tuple[str, Column]]:  # noqa: B008
     """(name, column) pairs of a bound term, all doubles but for raw variables."""
-    return list(zip(t.names(), [_number(c) if not isinstance(t, Var) else c for c in _columns(t, at)], strict=True)) if not isinstance(t, Var) else _unbound(t)
+    if isinstance(t, Var):
+        return _unbound(t)
+    if isinstance(t, Sum):
+        return [c for x in t.terms for c in columns(x, at)]
+    double = isinstance(t, Categorical | Interaction | Intercept | Continuous)
+    return list(zip(t.names(), [c if double else _number(c) for c in _columns(t, at)], strict=True))
 
 
 def _number(c: Column) -> Column:
@@ -90,21 +98,36 @@ def _columns(t: TermBase, at: Rows) -> list[Column]:
     return t.columns()
 
 
-def literals(values: Sequence) -> Column:
-    """An array of constants that is one node of the plan where the values are texts or whole numbers."""
-    if values and all(isinstance(v, str) and "\x01" not in v for v in values):
-        return F.split(F.lit("\x01".join(values)), "\x01")
-    if values and all(isinstance(v, int) and not isinstance(v, bool) for v in values):
-        return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
-    return F.array(*map(F.lit, values))
+def _sql(v: Any) -> str:
+    """A constant as SQL text."""
+    if isinstance(v, str):
+        return "'" + "".join(x if x.isprintable() and x not in "'\\" else "".join(f"\\u{u:04x}" for u in memoryview(x.encode("utf-16-le")).cast("H")) for x in v) + "'"
+    if isinstance(v, float):
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v!r}')"
+    if isinstance(v, bool) or v is None:
+        return str(v).lower()
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, datetime.datetime):
+        return f"timestamp'{v.isoformat(' ')}'"
+    return f"date'{v.isoformat()}'" if isinstance(v, datetime.date) else f"{v}BD" if isinstance(v, decimal.Decimal) else _sql(str(v))
+
+
+def _array(values: Sequence) -> str:
+    """An array of constants, one node of the plan where the values are texts or whole numbers."""
+    if all(isinstance(v, str) and "\x01" not in v for v in values):
+        return f"split({_sql(chr(1).join(values))}, '\\u0001')"
+    if all(isinstance(v, int) and not isinstance(v, bool) for v in values):
+        return f"cast(split('{' '.join(map(str, values))}', ' ') as array<bigint>)"
+    return f"array({', '.join(map(_sql, values))})"
 
 
-def numbers(values: Sequence[float]) -> Column:
-    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
+def _name(t: Categorical) -> str:
+    return f"`{t.name.replace('`', '``')}`"
 
 
-def _unknown(t: Categorical) -> Column:
-    return F.raise_error(F.concat(F.lit(f"level not seen before in {t.name}: "), ref(t.name).cast("string")))
+def _unknown(t: Categorical, kind: str) -> str:
+    return f"cast(raise_error(concat({_sql(f'level not seen before in {t.name}: ')}, cast({_name(t)} as string))) as {kind})"
 
 
 #: Levels that a column of a coding names one by one; beyond, its values are looked up by the level's place.
@@ -118,23 +141,20 @@ def coded(t: Categorical) -> list[Column]:
     shares the test for known levels with the others, so that the plan of such a coding grows with the number of
     levels only. The columns of other codings look their values up by the place of the level.
     """
-    c, m = ref(t.name), t.contrasts
-    levels = literals(m.levels)
-    known, place, unknown = F.array_contains(levels, c), F.array_position(levels, c), _unknown(t).cast("double")
-    out = []
+    c, m = _name(t), t.contrasts
+    levels, unknown, out = _array(m.levels), _unknown(t, "double"), []
     for j in range(len(m.names)):
         values, groups = m.column(j), {}
         for level, v in zip(m.levels, values, strict=True):
             groups.setdefault(v, []).append(level)
         rest = max(groups, key=lambda v: len(groups[v]))
         some = [(level, v) for v, of in groups.items() if v != rest for level in of]
-        expr = F.when(c.isNull(), F.lit(None).cast("double"))
         if len(some) <= NAMED:
-            for level, v in some:
-                expr = expr.when(c == level, F.lit(v))
-            out.append(expr.when(known, F.lit(rest)).otherwise(unknown))
+            cases = [f"when {c} = {_sql(level)} then {_sql(v)}" for level, v in some] + [f"when array_contains({levels}, {c}) then {_sql(rest)}"]
         else:
-            out.append(expr.when(place > 0, F.element_at(numbers(values), place.cast("int"))).otherwise(unknown))
+            numbers = f"cast(split('{' '.join(map(repr, values))}', ' ') as array<double>)"
+            cases = [f"when array_position({levels}, {c}) > 0 then element_at({numbers}, cast(array_position({levels}, {c}) as int))"]
+        out.append(F.expr(f"case when {c} is null then cast(null as double) {' '.join(cases)} else {unknown} end"))
     return out
 
 
@@ -152,11 +172,14 @@ def entries(t: TermBase, at: Rows = Rows(), first: int = 1) -> Column:  # noqa:
         return F.concat(*out) if out else F.array().cast(ENTRY)
     if not isinstance(t, Categorical):
         return F.array(*[F.struct(F.lit(i).alias("col"), F.lit(n).alias("name"), c.alias("value")) for i, (n, c) in enumerate(columns(t, at), first)]).cast(ENTRY)
-    c, m, names = ref(t.name), t.contrasts, t.names()
-    body = json.dumps([[{"col": first + j, "name": names[j], "value": v} for j, v in m.entries(i)] for i in range(len(m.levels))])
-    place = F.array_position(literals(m.levels), c)
-    empty = F.array(*[F.struct(F.lit(first + j).alias("col"), F.lit(n).alias("name"), F.lit(None).cast("double").alias("value")) for j, n in enumerate(names)]).cast(ENTRY)
-    return F.when(place > 0, F.element_at(F.from_json(F.lit(body), f"array<{ENTRY}>"), place.cast("int"))).when(c.isNull(), empty).otherwise(_unknown(t).cast(ENTRY))
+    c, m, names = _name(t), t.contrasts, t.names()
+    body = _sql(json.dumps([[{"col": first + j, "name": names[j], "value": v} for j, v in m.entries(i)] for i in range(len(m.levels))]))
+    empty = _sql(json.dumps([{"col": first + j, "name": n} for j, n in enumerate(names)]))
+    place = f"array_position({_array(m.levels)}, {c})"
+    return F.expr(
+        f"case when {c} is null then from_json({empty}, '{ENTRY}') when {place} > 0 then element_at(from_json({body}, 'array<{ENTRY}>'), cast({place} as int))"
+        f" else {_unknown(t, ENTRY)} end"
+    )
 
 
 def value(t: TermBase, at: Rows) -> Column:
