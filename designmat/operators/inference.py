@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from designmat.plans.terms import Sum, parts
 
@@ -109,15 +110,14 @@ def lrtest(*models: Any, atol: float = 0.0) -> LRTest:
     if any(a == b or (b > a) != up for a, b in zip(dof, dof[1:], strict=False)):
         raise ValueError("degrees of freedom must rise or fall strictly: the models aren't nested")
     order = list(models) if up else list(reversed(models))
-    for small, large in zip(order, order[1:], strict=False):
-        check = getattr(small, "isnested", None)
-        known = check(large, atol=atol) if check else None
-        if known is None:
-            kind = type(getattr(small, "model", small)).__name__
-            warnings.warn(f"Could not check whether models are nested as model type {kind} does not implement isnested: results may not be meaningful", stacklevel=2)
-            break
-        if not known:
-            raise ValueError("the models aren't nested")
+    pairs = list(zip(order, order[1:], strict=False))
+    nested = [check(large, atol=atol) if (check := getattr(small, "isnested", None)) else None for small, large in pairs]
+    if any(known is not None and not known for known in nested):
+        raise ValueError("the models aren't nested")
+    if None in nested:
+        kind = type(getattr(models[0], "model", models[0])).__name__
+        warnings.warn(f"Could not check whether models are nested as model type {kind} does not implement isnested: results may not be meaningful", stacklevel=2)
+    for small, large in pairs:
         a, b = small.loglikelihood(), large.loglikelihood()
         if b < a and not math.isclose(a, b, rel_tol=0.0 if atol else 1.5e-8, abs_tol=atol):
             raise ValueError("the log-likelihood must not fall as degrees of freedom rise")
@@ -125,10 +125,24 @@ def lrtest(*models: Any, atol: float = 0.0) -> LRTest:
     return LRTest(n[0], tuple(m.deviance() for m in models), tuple(ll), tuple(dof), tuple(p))
 
 
+def intercept_column(x: DataFrame) -> int:
+    """The place of the first column that holds ones only, -1 if there is none: one aggregate over a model matrix."""
+    names = [f"`{c.replace('`', '``')}`" for c in x.columns]
+    row = x.agg(*[(F.min(c) == 1.0) & (F.max(c) == 1.0) & (F.count(c) == F.count(F.lit(1))) for c in names]).first() if names else ()
+    return next((i for i, one in enumerate(row) if one), -1)
+
+
+def normal_tail(z: float) -> float:
+    """P(|Z| > |z|) of the standard normal distribution."""
+    return math.nan if math.isnan(z) else math.erfc(abs(z) / math.sqrt(2))
+
+
 def _correlations(model: Any) -> tuple[np.ndarray, int]:
     names = list(model.coefnames())
     v = np.asarray(model.vcov(), float)
     at = names.index("(Intercept)") if "(Intercept)" in names else -1
+    if at < 0 and hasattr(model, "modelmatrix"):
+        at = intercept_column(model.modelmatrix())
     if at < 0:
         raise ValueError("variance inflation needs a model with an intercept")
     v = np.delete(np.delete(v, at, 0), at, 1)

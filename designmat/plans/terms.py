@@ -306,6 +306,14 @@ def leaves(t: Any) -> list[TermBase]:
     return [t] if below is None else unique(x for b in below for x in leaves(b))
 
 
+def shifted(t: Any) -> bool:
+    """Whether a lag or lead stands anywhere in a term or formula."""
+    if isinstance(t, Formula):
+        return any(shifted(p) for p in (t.lhs, *parts(t.rhs)) if p is not None)
+    below = t.terms if isinstance(t, Sum | Interaction) else getattr(t, "args", ())
+    return isinstance(t, Shift) or any(map(shifted, below))
+
+
 def symbols(t: TermBase) -> frozenset:
     """What a term is compared by when looking for aliases."""
     if isinstance(t, Const):

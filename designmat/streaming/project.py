@@ -10,17 +10,10 @@ from designmat.plans.compile import both
 from designmat.plans.parser import formula
 from designmat.plans.bind import apply_schema, is_bound
 from designmat.plans.schema import Schema
-from designmat.plans.terms import Formula, Interaction, Shift, Sum, parts
+from designmat.plans.terms import shifted
 from designmat.sources import tables
 
 
-def _shifts(t: Any) -> bool:
-    if isinstance(t, Formula):
-        return any(_shifts(p) for p in (t.lhs, *parts(t.rhs)) if p is not None)
-    below = t.terms if isinstance(t, Sum | Interaction) else getattr(t, "args", ())
-    return isinstance(t, Shift) or any(map(_shifts, below))
-
-
 def stream_matrix(f: Any, stream: DataFrame, schema: Schema | None = None, model: type | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Response and predictors of each row of a stream (or table), for a bound formula or one with a given schema."""
     f = formula(f) if isinstance(f, str) else f
@@ -28,7 +21,7 @@ def stream_matrix(f: Any, stream: DataFrame, schema: Schema | None = None, model
         if schema is None:
             raise TypeError("a stream can't be swept for its schema; give one")
         f = apply_schema(f, schema, model)
-    if _shifts(f):
+    if shifted(f):
         raise ValueError("lag and lead need the order of all rows, which a stream has not")
     y, x = both(f)
     return tables.wide(stream, y + x, keep)
