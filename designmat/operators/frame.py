@@ -29,7 +29,7 @@ def missing_mask(names: list[str]) -> Column:
 
 
 def missing_omit(df: DataFrame, f: Any) -> DataFrame:
-    """Rows and columns that a formula uses, without rows that lack one of its variables."""
+    """The rows that have values in all variables of a formula. Other columns are pruned when the plan is made."""
     check_table(df)
     names = _formula(f).vars()
     check_columns(names, df.columns)

@@ -258,12 +258,10 @@ def lrtest_pair(t, spark):
     return out.select("model", "dof", F.round("loglikelihood", 3).alias("loglikelihood"), F.round("chisq", 4).alias("chisq"), F.round("pval", 6).alias("pval"))
 
 
-@query("SELECT * FROM (VALUES (1, '(Intercept)'), (2, 'l_quantity'), (3, 'log(l_tax + 1)'), (4, 'l_returnflag: N'), (5, 'l_returnflag: R'), (6, 'l_linestatus: O'), (7, 'l_returnflag: N & l_linestatus: O'), (8, 'l_returnflag: R & l_linestatus: O')) AS v(position, name)")
+@query("SELECT * FROM (VALUES (1, '(Intercept)'), (2, 'l_quantity'), (3, 'l_returnflag: N'), (4, 'l_returnflag: R'), (5, 'l_linestatus: O'), (6, 'log(l_tax + 1)'), (7, 'l_returnflag: N & l_linestatus: O'), (8, 'l_returnflag: R & l_linestatus: O')) AS v(position, name)")
 def coefnames_table(t, spark):
     f = ModelFrame("l_extendedprice ~ l_quantity + l_returnflag*l_linestatus + log(l_tax + 1)", t("lineitem"))
-    names = f.coefnames()
-    names.insert(2, names.pop(names.index("log(l_tax + 1)")))
-    return spark.createDataFrame(list(enumerate(names, 1)), "position int, name string")
+    return spark.createDataFrame(list(enumerate(f.coefnames(), 1)), "position int, name string")
 
 
 @query("SELECT * FROM (VALUES (0, 'l_extendedprice'), (1, '(Intercept)'), (2, 'l_quantity'), (3, 'l_returnflag'), (4, 'l_quantity & l_returnflag')) AS v(position, name)")
@@ -288,3 +286,5 @@ def stream_projection(t, spark):
 def set_contrasts(t, spark):
     return ModelFrame("l_tax ~ l_returnflag", t("lineitem")).setcontrasts(l_returnflag=Effects()).modelmatrix()
 
+
+from designmat.plans import catalogue_models  # noqa: E402, F401  # registers its queries beside these

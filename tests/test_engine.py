@@ -310,7 +310,7 @@ def test_catalogue_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part", "events"):
+    for t in ("lineitem", "orders", "part", "events", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     cols = sorted(df.columns)
