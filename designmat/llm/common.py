@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}  # temporary folders of sessions on one machine
 SALTS = 64
+FEW_LINKS = 1_000_000
+CROWDED = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +107,7 @@ def _parents(e: DataFrame, node: str, links: int) -> DataFrame:
     there are at most 100,000 such nodes, which is the bound of what is broadcast here.
     """
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    crowded = max(1000, links // 100_000)
+    crowded = max(CROWDED, links // 100_000)
     hot = F.broadcast(e.groupBy(node).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select(F.col(node).alias("h")))
     other = "u" if node == "v" else "v"
     dealt = e.join(hot, F.col(node) == F.col("h"), "left").withColumn("salt", F.when(F.col("h").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS))).cast("int")).drop("h")
@@ -120,12 +122,23 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars. Links are kept from the larger node u to the smaller v. In a large star a
     node's larger neighbours are linked to the least of its neighbours, in a small star its smaller neighbours are.
     Each round is aggregations, whose partial minima are combined before the shuffle, and equi-joins, in which the
-    rows of a node with very many links are dealt to many tasks. Nodes without links are not returned; self-links
-    and nulls are ignored; an empty input gives an empty result.
+    rows of a node with very many links are dealt to many tasks. What is left once no more than a million links are,
+    16 MB, is joined by one task. Nodes without links are not returned; self-links and nulls are ignored; an empty
+    input gives an empty result.
     """
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            u, v = forest(*(np.concatenate([b[k].to_numpy() for b in held]) for k in "uv"))
+            yield pd.DataFrame({"u": u, "v": v})
+
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen, links = None, e.count()
     while links:
+        if links <= FEW_LINKS:
+            e = cut(e.repartition(1).mapInPandas(rest, "u long, v long"))
+            break
         large = cut(_parents(e, "v", links).select("u", F.coalesce("m", "v").alias("v")).distinct())
         small = _parents(large, "u", links).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct())
@@ -158,6 +171,28 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(kept) if len(kept) > 1 else kept[0]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of a partition that is sorted by its keys, many groups at a time and each of them whole, with the
+    places where groups begin."""
+    kept: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        k = b[keys].to_numpy()
+        at = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if kept and (kept[-1][keys].iloc[-1].to_numpy() != k[0]).any():
+            at = np.concatenate([[0], at])
+        if not len(at):
+            kept.append(b)
+            continue
+        out = pd.concat([*kept, b.iloc[: at[-1]]], ignore_index=True)
+        kept = [b.iloc[at[-1] :]]
+        k = out[keys].to_numpy()
+        yield out, np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1])
+    if kept:
+        yield pd.concat(kept, ignore_index=True), np.zeros(1, np.int64)
+
+
 def together(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a key in one partition and next to each other, for runs()."""
     return df.repartition(*keys).sortWithinPartitions(*keys)

@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from designmat.llm.common import components, cut, forest, free, named, runs, table, together
+from designmat.llm.common import components, cut, forest, free, named, runs, table, together, whole_groups
 
 TILE = 16384
+FEW = 24
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
@@ -78,9 +79,25 @@ def compared(x: pd.DataFrame, y: pd.DataFrame | None, radius: int, ratio: float
     return pd.DataFrame({"a": a, "b": b})
 
 
-def united(rows: DataFrame, key: str, compare: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], tile: int) -> DataFrame:
-    """Links (a, b) that join all rows (column id, unique in a group) of a group of ``key`` that compare links, directly
-    or by way of others; exact.
+Compare = Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame]
+Judge = Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+
+
+def close(x: pd.DataFrame, radius: int, ratio: float = 0.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether rows i and j of x link: fingerprints within the radius, and sizes of at least the ratio."""
+    fp, n = x["fp"].to_numpy().view(np.uint64), x["n"].to_numpy() if ratio else None
+
+    def judge(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        return hit & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) if ratio else hit
+
+    return judge
+
+
+def united(rows: DataFrame, key: str, judge: Judge, compare: Compare, tile: int) -> DataFrame:
+    """Links (a, b) that join all rows (column id, unique in a group) of a group of ``key`` that judge and compare link,
+    directly or by way of others; exact. Groups of a few rows are judged many at a time, larger ones are compared
+    one by one.
 
     A group of more than ``tile`` rows is dealt to tiles by hashing, and its first and last row goes to every tile:
     copies of one text are mostly joined then. Rows that are still apart from most of their group are compared
@@ -97,8 +114,24 @@ def united(rows: DataFrame, key: str, compare: Callable[[pd.DataFrame, pd.DataFr
 
     def whole(keys: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for g in runs(batches, keys):
-                yield compare(g, None)
+            for c, begins in whole_groups(batches, keys):
+                size = np.diff(np.append(begins, len(c)))
+                group = np.repeat(np.arange(len(size)), size)
+                small = np.repeat(size <= FEW, size)
+                x, own = c[small], group[small]
+                if len(x):
+                    ids, look, found = x["id"].to_numpy(), judge(x), []
+                    for d in range(1, FEW):
+                        i = np.flatnonzero(own[:-d] == own[d:])
+                        if not len(i):
+                            break
+                        i = i[look(i, i + d)]
+                        found.append((ids[i], ids[i + d]))
+                    a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+                    a, b = forest(a, b)
+                    yield pd.DataFrame({"a": a, "b": b})
+                for k in np.flatnonzero(size > FEW).tolist():
+                    yield compare(c.iloc[begins[k] : begins[k] + size[k]], None)
 
         return run
 
@@ -148,7 +181,7 @@ def link_components(fps: DataFrame, radius: int = 2) -> DataFrame:
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
     ])
     rows = reps.select("id", "fp", F.expr("bit_count(fp)").cast("int").alias("pop"), F.explode(segs).alias("val"))
-    comp = components(united(rows, "val", lambda x, y: compared(x, y, radius), TILE))
+    comp = components(united(rows, "val", lambda x: close(x, radius), lambda x, y: compared(x, y, radius), TILE))
     return reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
 
@@ -165,16 +198,32 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_each: int = 3) -> Da
 BINS, NONE = 256, 0xFFFF
 
 
-def shingle_hashes(text: str | None, words_each: int = 5, seed: int = 43) -> np.ndarray:
+class WordHashes(dict):
+    """Hashes of words already met; emptied when there are very many."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w, 43)
+        return h
+
+
+WORDS = WordHashes()
+
+
+def shingle_hashes(text: str | None, words_each: int = 5) -> np.ndarray:
     """Sorted hashes of the set of word shingles; a shorter text is one shingle, a wordless one has none."""
     w = (text or "").encode().lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    whole, n = b" ".join(w), max(1, len(w) - words_each + 1)
-    ends = np.cumsum([len(x) + 1 for x in w])
-    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    parts = {whole[a:b] for a, b in zip(starts, (ends[min(words_each, len(w)) - 1 :] - 1).tolist(), strict=True)}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts)))
+    word = WORDS.__getitem__
+    h = np.fromiter(map(word, w), np.uint64, len(w))
+    n = max(1, len(w) - words_each + 1)
+    out = np.full(n, min(len(w), words_each), np.uint64)
+    for k in range(min(len(w), words_each)):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -206,6 +255,28 @@ def bands(sketches: list[bytes], each: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def told(x: pd.DataFrame, radius: int, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether the shingle sets of rows i and j of x are alike; see ``alike``."""
+    sk = np.stack([np.frombuffer(v, np.uint16) for v in x["sketch"]])
+    full, near, sets = sk != NONE, close(x, radius, similarity), [np.frombuffer(v, np.uint32) for v in x["hashes"]]
+
+    def judge(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        hit = near(i, j)
+        i, j = i[hit], j[hit]
+        used = (full[i] | full[j]).sum(1)
+        share = ((sk[i] == sk[j]) & full[j]).sum(1) / np.maximum(used, 1)
+        margin = 3 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+        sure = (share >= similarity + margin) | (used == 0)
+        for k in np.flatnonzero(~sure & (share >= similarity - margin)).tolist():
+            p, q = sets[i[k]], sets[j[k]]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            sure[k] = both >= similarity * (len(p) + len(q) - both)
+        hit[hit] = sure
+        return hit
+
+    return judge
+
+
 def alike(x: pd.DataFrame, y: pd.DataFrame | None, radius: int, similarity: float) -> pd.DataFrame:
     """Spanning links of the pairs within x (y None) or of x and y whose shingle sets are alike. Sketches decide where
     they are three standard errors off the similarity; in between the whole sets do. Pairs that are joined already,
@@ -275,7 +346,7 @@ def surplus(docs: DataFrame, radius: int = 22, similarity: float = 0.8, tile: in
                 yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), k), "fp": np.repeat(b["fp"].to_numpy(), k), "n": np.repeat(b["n"].to_numpy(), k), "band": keys.ravel()})
 
     met = reps.select("id", "fp", "n", "sketch").mapInPandas(banded, "id long, fp long, n long, band long").withColumn("pop", F.expr("bit_count(fp)").cast("int"))
-    coarse = components(united(met, "band", lambda x, y: compared(x, y, radius, similarity), TILE))
+    coarse = components(united(met, "band", lambda x: close(x, radius, similarity), lambda x, y: compared(x, y, radius, similarity), TILE))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -284,7 +355,7 @@ def surplus(docs: DataFrame, radius: int = 22, similarity: float = 0.8, tile: in
     found = coarse.join(reps, coarse["node"] == reps["id"]).select("component", "id", "fp", "n", "sketch", "of.doc_id", "of.digest")
     found = found.join(docs, ["doc_id", "digest"]).select("component", "id", "fp", "n", "sketch", "text").dropDuplicates(["id"])
     full = cut(found.mapInPandas(hashed, "component long, id long, fp long, n long, sketch binary, hashes binary"))
-    groups = components(united(full, "component", lambda x, y: alike(x, y, radius, similarity), tile))
+    groups = components(united(full, "component", lambda x: told(x, radius, similarity), lambda x, y: alike(x, y, radius, similarity), tile))
     joined = reps.join(groups, reps["id"] == groups["node"], "left").select("fp", "n", "sketch", F.coalesce("component", "id").alias("group"))
     member = cut(rows.join(joined, ["fp", "n", "sketch"]).select("group", "doc_id", "digest"))
     first = member.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("stays"), F.count("*").alias("of")).where("of > 1")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from designmat.llm import bpe, decontam, embeddings, licenses, queries, quality, secrets, sharding, simhash, tokencount, warc
+from designmat.llm import bpe, common, decontam, embeddings, licenses, queries, quality, secrets, sharding, simhash, tokencount, warc
 from designmat.llm.common import components
 
 SF = "/root/testdata/sf0.01"
@@ -41,7 +41,10 @@ def roots(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few,hot", [(1_000_000, 1000), (0, 1000), (0, 5)])
+def test_components(spark, monkeypatch, few, hot):
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    monkeypatch.setattr(common, "CROWDED", hot)
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 2000 + i) for i in range(50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
