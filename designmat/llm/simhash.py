@@ -198,30 +198,36 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_each: int = 3) -> Da
 BINS, NONE = 256, 0xFFFF
 
 
-class WordHashes(dict):
-    """Hashes of words already met; emptied when there are very many."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w, 43)
-        return h
+LETTERS = np.random.default_rng(43).integers(0, 2**64, 256, dtype=np.uint64)
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-WORDS = WordHashes()
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word: random numbers for its bytes, each times a power of its place, summed."""
+    b = np.frombuffer((text or "").encode().lower(), np.uint8)
+    solid = ~BLANK[b]
+    at = np.flatnonzero(solid)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of each word among the solid bytes
+    size = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    powers = np.full(int(size.max()), MIX)
+    powers[0] = 1
+    h = np.add.reduceat(LETTERS[b[at]] * np.multiply.accumulate(powers)[place], first)
+    return h ^ (h >> np.uint64(32))
 
 
 def shingle_hashes(text: str | None, words_each: int = 5) -> np.ndarray:
     """Sorted hashes of the set of word shingles; a shorter text is one shingle, a wordless one has none."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    word = WORDS.__getitem__
-    h = np.fromiter(map(word, w), np.uint64, len(w))
-    n = max(1, len(w) - words_each + 1)
-    out = np.full(n, min(len(w), words_each), np.uint64)
-    for k in range(min(len(w), words_each)):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    each, n = min(len(h), words_each), max(1, len(h) - words_each + 1)
+    out = np.full(n, each, np.uint64)
+    for k in range(each):
+        out = (out ^ h[k : k + n]) * MIX
         out ^= out >> np.uint64(32)
     return np.unique(out * np.uint64(0xC2B2AE3D27D4EB4F))
 
