@@ -12,7 +12,7 @@ from designmat.errors import ColumnNotFoundError, EmptyColumnError, LevelError,
 from designmat.functions.registry import formula_function, lenient
 from designmat.operators.frame import ModelFrame, ModelMatrix, modelcols, modelmatrix, response
 from designmat.operators.inference import chi2_tail, gvif, lrtest, t_quantile, t_two_sided, vif
-from designmat.operators.models import GLM, OLS, fit, gram
+from designmat.operators.models import GLM, OLS, Linear, fit, gram
 from designmat.plans import catalogue
 from designmat.plans.bind import StatisticalModel, apply_schema
 from designmat.plans.contrasts import Dummy, Effects, Hypothesis
@@ -271,6 +271,54 @@ def test_lrtest():
             lrtest(*bad)
 
 
+def test_likelihoods_are_checked_after_unknown_nesting():
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        with pytest.raises(ValueError, match="log-likelihood"):
+            lrtest(Fixed(-1.0, 1), Fixed(-2.0, 2))
+        assert lrtest(Fixed(-1.0, 1), Fixed(-1.00000001, 2)).pval[1] == pytest.approx(1, abs=1e-3)
+        assert lrtest(Fixed(-1.0, 1), Fixed(-1.01, 2), atol=1).pval[1] < 1
+
+
+def test_signs_beside_names_and_powers():
+    assert str(formula("y ~ protect(x!=1)").rhs) == "protect(x != 1)" and str(formula("y ~ protect(f!(x))").rhs) == "protect(f!(x))"
+    assert str(formula("y ~ protect(-2^2)").rhs) == "protect(-(2 ^ 2))" and str(formula("y ~ protect(-2 * x)").rhs) == "protect(-2 * x)"
+
+
+def test_many_levels(spark):
+    from designmat.plans.contrasts import Helmert
+
+    df = spark.range(700).selectExpr("id", "cast(id % 70 as string) as g", "id % 70 as k")
+    for name in "gk":
+        for coding in (Dummy(), Effects(), Helmert()):
+            f = ModelFrame(f"id ~ 1 + {name}", df, contrasts={name: coding})
+            wide = {r["id"]: list(r)[1:] for r in f.modelmatrix(keep=("id",)).collect()}
+            long = {(r["id"], r["col"]): r["value"] for r in f.modelmatrix(form="long", keep=("id",)).collect()}
+            assert long == {(i, j): v for i, r in wide.items() for j, v in enumerate(r, 1) if v}
+            m = f.schema[name].contrasts
+            assert all(wide[i][1:] == m.row(str(i % 70) if name == "g" else i % 70).tolist() for i in range(70))
+            with pytest.raises(PySparkException, match="level not seen before"):
+                f.modelmatrix(df.withColumn(name, (df[name] + 100).cast(df.schema[name].dataType)), form="long", keep=("id",)).collect()
+            null = f.modelmatrix(df.limit(1).withColumn(name, F.lit(None).cast(df.schema[name].dataType)))
+            assert rows(null) == [[1.0] + [None] * 69]
+
+
+def test_glm_against_pyspark(spark):
+    df = spark.range(400).selectExpr("cast(id % 7 as double) / 3 as x", "cast(id % 3 = 0 or id % 7 > 4 as double) as y", "1 + cast(id % 11 as double) as z")
+    for family, left, more in (("binomial", "y", {}), ("poisson", "z", {}), ("gamma", "z", {"link": "log"}), ("binomial", "y", {"link": "cloglog"}), ("gaussian", "z", {}), ("poisson", "z", {"link": "sqrt"})):
+        m = fit(GLM, f"{left} ~ x", df, family=family, **more)
+        own = [r["prediction"] for r in m.fitted.__func__(m).collect()]
+        assert np.allclose(own, [r["prediction"] for r in m.model.fitted.transform(modelmatrix(f"{left} ~ 0 + x", df, form="vector")).collect()])
+        errors = m.model.summary.coefficientStandardErrors
+        assert np.allclose(m.stderror(), [errors[-1], *errors[:-1]], rtol=1e-4) and np.isfinite(m.loglikelihood()) and m.dof_residual() == 398
+        assert len(m.coeftable()) == 2 and "Pr(>" in str(m) and 0 <= m.r2("devianceratio") <= 1
+        low = m.predict(df.limit(1), interval="confidence").first()
+        assert low["lower"] <= low["prediction"] <= low["upper"] and np.allclose(m.predict(np.array([[1.0, 0.5]])), m.predict(from_rows(spark, {"x": [0.5]})).first()["prediction"])
+    a, b = fit(Linear, "z ~ x", df), fit(OLS, "z ~ x", df)
+    assert np.allclose(a.coef(), b.coef()) and np.allclose(a.vcov(), b.vcov()) and a.r2() == pytest.approx(b.r2()) and "Coef." in str(a)
+    assert np.isnan(fit(Linear, "z ~ x", df, regParam=0.1).stderror()).all()
+
+
 def test_vif_on_known_covariances(spark):
     v = np.array([[1.0, 0.2, 0.1], [0.2, 2.0, 0.5], [0.1, 0.5, 1.0]])
     r2 = 0.25 / 2
