@@ -372,18 +372,18 @@ def one_of_each(docs: DataFrame, radius: int = 22, similarity: float = 0.8) -> D
     """docs without near copies: of each group the document of the smallest doc_id stays (of one doc_id, the text of
     the smallest digest). Of rows with equal doc_id and text the first in the order of all columns as text stays.
     Rows without a doc_id stay. Columns may have any names."""
-    mine = free(docs.columns, "digest", "rank")
-    gone = cut(surplus(docs, radius, similarity)).withColumnsRenamed({"doc_id": "gone_id", "digest": "gone_digest"})
-    marked = docs.withColumn(mine[0], F.expr(DIGEST))
-    kept = marked.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col(mine[0]) == F.col("gone_digest")), "left_anti")
+    digest, rank, *other = free(docs.columns, "digest", "rank", "gone_id", "gone_digest", "again_id", "again_digest")
+    same = lambda i, d: (F.col("doc_id") == F.col(i)) & (F.col(digest) == F.col(d))
+    gone = cut(surplus(docs, radius, similarity)).toDF(*other[:2])
+    kept = docs.withColumn(digest, F.expr(DIGEST)).join(gone, same(*other[:2]), "left_anti")
     all_ = [named(c) for c in docs.columns]
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id", F.expr(DIGEST).alias("d")).count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("d").alias("again_digest")))
+    again = docs.where("doc_id is not null").groupBy("doc_id", F.expr(DIGEST).alias("d")).agg(F.count("*").alias("k"))
+    again = cut(again.where("k > 1").select("doc_id", "d")).toDF(*other[2:])
     if again.isEmpty():
         return kept.select(all_)
-    twice = (F.col("doc_id") == F.col("again_id")) & (F.col(mine[0]) == F.col("again_digest"))
     order = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(all_)]))
-    ranked = kept.join(again, twice, "left_semi").withColumn(mine[1], F.row_number().over(Window.partitionBy("doc_id", mine[0]).orderBy(order)))
-    return kept.join(again, twice, "left_anti").select(all_).unionByName(ranked.where(F.col(mine[1]) == 1).select(all_))
+    twice = kept.join(again, same(*other[2:]), "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(order)))
+    return kept.join(again, same(*other[2:]), "left_anti").select(all_).unionByName(twice.where(F.col(rank) == 1).select(all_))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ ODD = [(1, ""), (2, None), (3, " \n\t "), (4, "one"), (5, "two words"), (5, "two
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty, very long and repeated texts, repeated and null ids, and columns whose names clash."""
-    more = ["id", "bucket", "fp", "row", "n", "base", "found", "shard", "Slot", "a b", "a.b", "it`s", "pos", "cls", "sketch", "count", "fingerprint", "component_id", "held_out", "x", "node"]
+    more = ["id", "bucket", "fp", "row", "n", "base", "found", "shard", "Slot", "a b", "a.b", "it`s", "pos", "cls", "sketch", "count", "fingerprint", "component_id", "held_out", "x", "node", "digest", "rank", "gone_id", "again_digest"]
     rows = [(i, t, "en", "s", len(t or ""), *range(len(more))) for i, t in ODD]
     named = ", ".join("`" + m.replace("`", "``") + "` int" for m in more)
     return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {named}")
