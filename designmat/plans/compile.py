@@ -122,6 +122,10 @@ def _array(values: Sequence) -> str:
     return f"array({', '.join(map(_sql, values))})"
 
 
+def _doubles(values: Sequence[float]) -> str:
+    return f"cast(split('{' '.join(map(repr, values))}', ' ') as array<double>)"
+
+
 def _name(t: Categorical) -> str:
     return f"`{t.name.replace('`', '``')}`"
 
@@ -130,6 +134,15 @@ def _unknown(t: Categorical, kind: str) -> str:
     return f"cast(raise_error(concat({_sql(f'level not seen before in {t.name}: ')}, cast({_name(t)} as string))) as {kind})"
 
 
+def _found(t: Categorical) -> str:
+    """The place of the row's level among the levels, 0 for one that isn't known."""
+    c, levels = _name(t), _array(t.contrasts.levels)
+    if any(isinstance(v, decimal.Decimal) for v in t.contrasts.levels):  # array_position takes decimals of one scale only
+        x = f"{c[:-1]}_`"  # a name that isn't the column's
+        return f"array_position(transform({levels}, {x} -> {x} = {c}), true)"
+    return f"array_position({levels}, {c})"
+
+
 #: Levels that a column of a coding names one by one; beyond, its values are looked up by the level's place.
 NAMED = 16
 
@@ -137,24 +150,25 @@ NAMED = 16
 def coded(t: Categorical) -> list[Column]:
     """A column for each contrast. Null stays null; levels not known are errors.
 
-    A column names the levels that differ from its commonest value, of which a sparse coding has one or two, and
-    shares the test for known levels with the others, so that the plan of such a coding grows with the number of
-    levels only. The columns of other codings look their values up by the place of the level.
+    Every column looks its value up by the place of the row's level. The place is one expression for all columns and
+    nothing above it is conditional: only then does Spark evaluate it once a row, not once a column (of what stands in
+    the branches of a case, it shares nothing). A sparse coding names the one or two places that differ from a
+    column's commonest value, so that its plan grows with the number of levels only.
     """
     c, m = _name(t), t.contrasts
-    levels, unknown, out = _array(m.levels), _unknown(t, "double"), []
+    found, out = _found(t), []
+    place = f"case when {found} > 0 then cast({found} as int) when {c} is null then cast(null as int) else {_unknown(t, 'int')} end"
     for j in range(len(m.names)):
         values, groups = m.column(j), {}
-        for level, v in zip(m.levels, values, strict=True):
-            groups.setdefault(v, []).append(level)
+        for i, v in enumerate(values, 1):
+            groups.setdefault(v, []).append(i)
         rest = max(groups, key=lambda v: len(groups[v]))
-        some = [(level, v) for v, of in groups.items() if v != rest for level in of]
-        if len(some) <= NAMED:
-            cases = [f"when {c} = {_sql(level)} then {_sql(v)}" for level, v in some] + [f"when array_contains({levels}, {c}) then {_sql(rest)}"]
+        some = [(i, v) for v, of in groups.items() if v != rest for i in of]
+        if 0 < len(some) <= NAMED < len(values):
+            numbers, at = _doubles([rest, *(v for _, v in some)]), f"cast(array_position({_array([i for i, _ in some])}, {place}) as int) + 1"
         else:
-            numbers = f"cast(split('{' '.join(map(repr, values))}', ' ') as array<double>)"
-            cases = [f"when array_position({levels}, {c}) > 0 then element_at({numbers}, cast(array_position({levels}, {c}) as int))"]
-        out.append(F.expr(f"case when {c} is null then cast(null as double) {' '.join(cases)} else {unknown} end"))
+            numbers, at = _doubles(values), place
+        out.append(F.expr(f"element_at({numbers}, {at})"))
     return out
 
 
@@ -175,7 +189,7 @@ def entries(t: TermBase, at: Rows = Rows(), first: int = 1) -> Column:  # noqa:
     c, m, names = _name(t), t.contrasts, t.names()
     body = _sql(json.dumps([[{"col": first + j, "name": names[j], "value": v} for j, v in m.entries(i)] for i in range(len(m.levels))]))
     empty = _sql(json.dumps([{"col": first + j, "name": n} for j, n in enumerate(names)]))
-    place = f"array_position({_array(m.levels)}, {c})"
+    place = _found(t)
     return F.expr(
         f"case when {c} is null then from_json({empty}, '{ENTRY}') when {place} > 0 then element_at(from_json({body}, 'array<{ENTRY}>'), cast({place} as int))"
         f" else {_unknown(t, ENTRY)} end"

@@ -303,6 +303,33 @@ def test_many_levels(spark):
             assert rows(null) == [[1.0] + [None] * 69]
 
 
+def test_level_is_looked_up_once_a_row(spark):
+    from designmat.plans.contrasts import Helmert
+
+    df = spark.range(400).selectExpr("id", "cast(id % 200 as string) as g")
+    for coding in (Dummy(), Effects(), Helmert()):
+        x = modelmatrix("id ~ 0 + g", df, hints={"g": coding})
+        made = x._jdf.queryExecution().optimizedPlan().projectList()
+        shared = spark._jvm.org.apache.spark.sql.catalyst.expressions.EquivalentExpressions(False)
+        for i in range(199):
+            shared.addExprTree(made.apply(i).child(), getattr(shared, "addExprTree$default$2")())
+        found = shared.getCommonSubexpressions()
+        once = next(found.apply(i).toString() for i in range(found.length()) if "level not seen" in found.apply(i).toString())
+        assert all("level not seen" not in (own := made.apply(i).toString().replace(once, "")) and " g#" not in own for i in range(199))
+        with pytest.raises(PySparkException, match="level not seen before in g: 300"):
+            m = ModelFrame("id ~ 1 + g", df, contrasts={"g": coding})
+            m.modelmatrix(df.limit(1).withColumn("g", F.lit("300"))).select("`g: 7`").collect()
+
+
+def test_decimal_levels(spark):
+    df = spark.range(40).selectExpr("id", "case when id % 20 < 19 then cast(id % 20 / 4.0 as decimal(8, 2)) end as g")
+    f = ModelFrame("id ~ 1 + g", df, contrasts={"g": Effects()})
+    wide = {r["id"]: list(r)[1:] for r in f.modelmatrix(df, keep=("id",)).collect()}
+    assert all(wide[i][1:] == (f.schema["g"].contrasts.matrix[i % 20].tolist() if i % 20 < 19 else [None] * 18) for i in range(40))
+    long = {(r["id"], r["col"]): r["value"] for r in f.modelmatrix(df, form="long", keep=("id",)).collect()}
+    assert long == {(i, j): v for i, r in wide.items() for j, v in enumerate(r, 1) if v != 0}
+
+
 def test_glm_against_pyspark(spark):
     df = spark.range(400).selectExpr("cast(id % 7 as double) / 3 as x", "cast(id % 3 = 0 or id % 7 > 4 as double) as y", "1 + cast(id % 11 as double) as z")
     for family, left, more in (("binomial", "y", {}), ("poisson", "z", {}), ("gamma", "z", {"link": "log"}), ("binomial", "y", {"link": "cloglog"}), ("gaussian", "z", {}), ("poisson", "z", {"link": "sqrt"})):
